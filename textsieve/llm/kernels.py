@@ -86,23 +86,32 @@ class Words:
     end: np.ndarray
     doc: np.ndarray
     first: np.ndarray  #: words before each document, one more than documents
+    sums: np.ndarray | None = None
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def range_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each byte range."""
         n = len(self.data)
         up, down = powers(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(BYTE_VALUE[self.data] * up[:n], out=sums[1:])
-            return mix64((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+            if self.sums is None:
+                self.sums = np.zeros(n + 1, dtype=np.uint64)
+                np.cumsum(BYTE_VALUE[self.data] * up[:n], out=self.sums[1:])
+            return mix64((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word's bytes."""
+        return self.range_hashes(self.start, self.end)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> Words:
-    """Split lower-cased texts (bytes, offsets from 0) into maximal runs of word bytes."""
+def words_of(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray, more: np.ndarray | None = None) -> Words:
+    """Split lower-cased texts (bytes, offsets from 0) into maximal runs of word bytes.
+
+    more: further bytes, by position, that belong to words.
+    """
     data = LOWER[data]
     n, docs = len(data), len(offsets) - 1
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = word_byte[data]
+    inside[1:-1] = word_byte[data] if more is None else word_byte[data] | more
     starts = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     cut = offsets[1:-1]
@@ -161,6 +170,12 @@ def segment_reduce(ufunc: np.ufunc, values: np.ndarray, offsets: np.ndarray, emp
     return out
 
 
+def hash_words(text: str, word_byte: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one text."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    return words_of(data, np.array([0, len(data)]), word_byte).hashes()
+
+
 def tune(spark) -> None:
     """Arrow batches small enough that a batch of long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

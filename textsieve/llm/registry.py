@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textsieve.llm.decontaminate import op5_decontaminate
+from textsieve.llm.html_extract import op2_html_extract
+from textsieve.llm.language_id import op8_language_id
+from textsieve.llm.license_scan import op3_license_scan
 from textsieve.llm.near_dedup import op1_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_html_extract": op2_html_extract,
+    "op3_license_scan": op3_license_scan,
+    "op5_decontaminate": op5_decontaminate,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLES: dict[str, str] = {}
