@@ -31,6 +31,8 @@ CONTENT, NAMES = 1 << 16, 1 << 10
 #: Rounds of exchange, share of the pool that a view hands over per round, and the least confidence.
 ROUNDS, HANDED, CONFIDENT = 3, 0.05, 0.95
 STEPS, RATE, DECAY = 80, 0.3, 1e-5
+#: Deviations of a feature's share between classes that are chance, and that are certain; documents that hold it.
+CHANCE, SURE, SEEN = 3.0, 8.0, 4
 #: A document stays if quality is at least, and toxicity below, this.
 KEEP = 0.5
 
@@ -56,21 +58,31 @@ class Rows:
         return Rows(place[self.row[own]], self.column[own], self.value[own], len(rows))
 
 
-def content_view(data: np.ndarray, offsets: np.ndarray) -> Rows:
-    """Damped counts of hashed words and symbol runs; the last column is the constant 1."""
+def content_view(data: np.ndarray, offsets: np.ndarray) -> tuple[Rows, np.ndarray]:
+    """Damped counts of hashed words and symbol runs, the last column the constant 1; and shares of repetition.
+
+    The shares are columns: distinct among all words and runs, and words that repeat the one before.
+    """
     docs = len(offsets) - 1
-    keys = []
+    keys, repeats = [], np.zeros(docs)
     for mask, salt in ((K.ALNUM, 0), (SYMBOL, 1)):
         words = K.words_of(data, offsets, mask)
-        h = K.mix64(words.hashes() + np.uint64(salt)) >> np.uint64(48)
+        h = words.hashes()
+        if not salt:
+            again = np.flatnonzero((h[1:] == h[:-1]) & (words.doc[1:] == words.doc[:-1])) + 1
+            repeats = np.bincount(words.doc[again], minlength=docs) / np.maximum(np.diff(words.first), 1)
+        h = K.mix64(h + np.uint64(salt)) >> np.uint64(48)
         keys.append(words.doc.astype(np.int64) * CONTENT + h.astype(np.int64))
     keys, counts = np.unique(np.concatenate(keys), return_counts=True)
-    row = np.concatenate([keys // CONTENT, np.arange(docs)])
-    return Rows(row, np.concatenate([keys % CONTENT, np.full(docs, CONTENT)]), np.concatenate([np.log1p(counts), np.ones(docs)]), docs)
+    doc = keys // CONTENT
+    distinct = np.bincount(doc, minlength=docs) / np.maximum(np.bincount(doc, weights=counts, minlength=docs), 1)
+    row = np.concatenate([doc, np.arange(docs)])
+    rows = Rows(row, np.concatenate([keys % CONTENT, np.full(docs, CONTENT)]), np.concatenate([np.log1p(counts), np.ones(docs)]), docs)
+    return rows, np.stack([distinct, repeats], axis=1)
 
 
-def page_view(data: np.ndarray, offsets: np.ndarray, lang: list[str | None], source: list[str | None]) -> Rows:
-    """Hashed language and source, and the shape of the text; the last column is the constant 1."""
+def page_view(data: np.ndarray, offsets: np.ndarray, lang: list[str | None], source: list[str | None], repetition: np.ndarray) -> Rows:
+    """Hashed language and source, and the shape of the text with its shares of repetition; the last column is the constant 1."""
     docs = len(offsets) - 1
     size = np.diff(offsets)
 
@@ -85,7 +97,7 @@ def page_view(data: np.ndarray, offsets: np.ndarray, lang: list[str | None], sou
 
     upper, digit, punctuation = of(*range(65, 91)), of(*range(48, 58)), of(*b".,;:?!'\"()-")
     symbol = SYMBOL & ~punctuation & ~upper
-    shape = np.stack([np.log1p(size) / 10, np.log1p(share(of(10)) * size) / 5, share(upper) * 5, share(digit) * 5, share(punctuation) * 5, np.sqrt(share(symbol)) * 5, share(of(32, 9)) * 3, (share(symbol) > 0.01).astype(float)], axis=1)
+    shape = np.stack([np.log1p(size) / 10, np.log1p(share(of(10)) * size) / 5, share(upper) * 5, share(digit) * 5, share(punctuation) * 5, np.sqrt(share(symbol)) * 5, share(of(32, 9)) * 3, (share(symbol) > 0.01).astype(float), *repetition.T, (share(upper) > 0.3).astype(float), (repetition[:, 1] > 0.1).astype(float)], axis=1)
     names = [np.array([hash_name(f"{kind}={x}") for x in values], dtype=np.int64) for kind, values in (("lang", lang), ("source", source))]
     k = shape.shape[1]
     row = np.tile(np.arange(docs), k + 3)
@@ -93,7 +105,7 @@ def page_view(data: np.ndarray, offsets: np.ndarray, lang: list[str | None], sou
     return Rows(row, column, np.concatenate([np.ones(2 * docs), shape.T.reshape(-1), np.ones(docs)]), docs)
 
 
-PAGE = NAMES + 8
+PAGE = NAMES + 12
 
 
 def hash_name(name: str) -> int:
@@ -103,17 +115,32 @@ def hash_name(name: str) -> int:
 
 
 def fit(rows: Rows, target: np.ndarray, size: int, weight: np.ndarray | None = None) -> np.ndarray:
-    """Logistic weights by Adam; classes weigh equally unless ``weight`` is given."""
+    """Logistic weights by Adam; classes weigh equally, and features by ``telling``, unless ``weight`` is given."""
+    scale = np.ones(size)
     if weight is None:
         share = np.clip(target.mean(), 1e-6, 1 - 1e-6)
         weight = np.where(target == 1, 0.5 / share, 0.5 / (1 - share))
+        if size == CONTENT + 1:
+            scale = telling(rows, target, size)
+            scale[-1] = 1
+            rows = Rows(rows.row, rows.column, rows.value * scale[rows.column], rows.n)
     weights, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
     for step in range(1, STEPS + 1):
         error = (sigmoid(rows.dot(weights)) - target) * weight / rows.n
         grad = np.bincount(rows.column, weights=rows.value * error[rows.row], minlength=size) + DECAY * weights
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         weights -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6) / step**0.5
-    return weights
+    return weights * scale
+
+
+def telling(rows: Rows, target: np.ndarray, size: int) -> np.ndarray:
+    """How well the presence of each feature tells the classes apart: 0 (chance) to 1 (SURE deviations)."""
+    seen = np.bincount(rows.column, weights=rows.value != 0, minlength=size)
+    with_it = np.bincount(rows.column, weights=(rows.value != 0) * target[rows.row], minlength=size)
+    n, m = rows.n, target.sum()
+    mean = (seen + 1) / (n + 2)
+    z = (with_it / max(m, 1) - (seen - with_it) / max(n - m, 1)) / np.sqrt(mean * (1 - mean) * (1 / max(m, 1) + 1 / max(n - m, 1)))
+    return np.where(seen >= SEEN, np.clip((np.abs(z) - CHANCE) / (SURE - CHANCE), 0, 1), 0)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -176,27 +203,23 @@ def co_train(views: tuple[Rows, Rows], target: np.ndarray, fold: np.ndarray) ->
     return CoTrained(weights[0], weights[1], calibration, combination)
 
 
-def _views(batch: pa.RecordBatch, lo: int, hi: int, data: np.ndarray, offsets: np.ndarray) -> tuple[Rows, Rows]:
+def views_of(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lang: list[str | None], source: list[str | None]) -> tuple[Rows, Rows]:
+    """Both views of the texts lo to hi."""
     at = offsets[lo : hi + 1]
     own, bounds = data[at[0] : at[-1]], at - at[0]
-    lang, source = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in (2, 3))
-    return content_view(own, bounds), page_view(own, bounds, lang, source)
+    content, repetition = content_view(own, bounds)
+    return content, page_view(own, bounds, lang, source, repetition)
 
 
-def _gather(rows: list) -> tuple[tuple[Rows, Rows], list]:
-    """Views of collected rows (doc_id, text, lang, source, ...)."""
+def _gather(rows: list) -> tuple[Rows, Rows]:
+    """Views of collected rows (text, lang, source, ...)."""
     data, offsets = K.text_buffer(pa.array([r["text"] for r in rows], pa.string()))
-    parts = []
-    for lo, hi in K.slices(offsets):
-        at = offsets[lo : hi + 1]
-        own, bounds = data[at[0] : at[-1]], at - at[0]
-        chunk = rows[lo:hi]
-        parts.append((content_view(own, bounds), page_view(own, bounds, [r["lang"] for r in chunk], [r["source"] for r in chunk])))
+    parts = [views_of(data, offsets, lo, hi, [r["lang"] for r in rows[lo:hi]], [r["source"] for r in rows[lo:hi]]) for lo, hi in K.slices(offsets)]
     joined = []
     for v in range(2):
         shift = np.cumsum([0, *(p[v].n for p in parts)])
         joined.append(Rows(*(np.concatenate([getattr(p[v], f) + (shift[i] if f == "row" else 0) for i, p in enumerate(parts)]) for f in ("row", "column", "value")), int(shift[-1])))
-    return (joined[0], joined[1]), rows
+    return joined[0], joined[1]
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,7 +249,7 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = sorted(taught.collect(), key=lambda r: r["doc_id"]) + sorted(pool.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
     models = None
     if rows:
-        views, rows = _gather(rows)
+        views = _gather(rows)
         models = tuple(co_train(views, np.array([-1 if r[name] is None else int(r[name] > 0) for r in rows]), np.array([bool(r["fold"]) for r in rows])) for name in ("quality", "toxic"))
         del views, rows
     held = spark.sparkContext.broadcast(models)
@@ -239,7 +262,7 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 if models is None:
                     content = page = score = toxic = np.full(hi - lo, 0.5)
                 else:
-                    views = _views(batch, lo, hi, data, offsets)
+                    views = views_of(data, offsets, lo, hi, *(batch.column(i).slice(lo, hi - lo).to_pylist() for i in (2, 3)))
                     content, page, score = models[0].chances(*views)
                     toxic = models[1].chances(*views)[2]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in (content, page, score, toxic)), pa.array((score >= KEEP) & ((toxic < KEEP) | (models is None)))], names=["doc_id", "content_score", "page_score", "score", "toxic", "kept"])
