@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are put in canonical form: numbers, names (capitalised words inside a
+Words are put in canonical form: numbers (of digits, points and commas), names (capitalised words inside a
 sentence) and units (after a number) become typed placeholders, other words
 their lower-case form.  Windows of canonical words of the documents and of the
 benchmark items are hash-joined, and the windows of a document that lie on one
@@ -48,8 +48,8 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarra
     raw = words.hashes()
     if not len(raw):
         return words, raw, raw
-    number = np.concatenate([[0], np.cumsum(digit)])
-    number = number[words.end] > number[words.start]
+    figures = np.concatenate([[0], np.cumsum(digit | point)])
+    number = figures[words.end] - figures[words.start] == words.end - words.start
     stop = np.isin(data, np.frombuffer(b".?!:;\n\r\"", dtype=np.uint8)) & ~point
     stop = np.concatenate([[0], np.cumsum(stop)])
     opens = np.ones(len(raw), dtype=bool)
