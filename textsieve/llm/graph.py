@@ -32,5 +32,5 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         new_labels = scratch.save(labels.join(parents, labels["root"] == parents["child"], "left").select("node", F.coalesce("parent", "root").alias("root")), f"{name}_l{k + 1}")
         scratch.drop(f"{name}_e{k}", f"{name}_l{k}", f"{name}_p{k}")
         edges, labels, k = new_edges, new_labels, k + 1
-    least = labels.groupBy("root").agg(F.min("node").alias("component"))
+    least = scratch.save(labels.groupBy("root").agg(F.min("node").alias("component")), f"{name}_least")
     return labels.join(least, "root").select("node", "component")

@@ -271,20 +271,23 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     named = sketches.where("n_shingles > 0 and doc_id is not null")
     reps = s.save(named.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "reps")
     keys = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
+    # Counts of a key are written before they are joined: then both sides of the join
+    # come straight from an exchange, and Spark can split a hot key's rows.
+    buckets = s.save(keys.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"), "buckets")
     stars = s.save(keys.join(buckets, "band").groupBy("rep", "least").agg(F.sum("n").alias("shared")), "stars")
     clusters = connected_components(stars.select(F.col("rep").alias("a"), F.col("least").alias("b")), s, "cand")
     centrality = stars.groupBy(F.col("rep").alias("node")).agg(F.sum("shared").alias("shared"))
     sized = reps.select(F.col("rep").alias("node"), "n_shingles", "regs", "key_a", "key_b")
     members = s.save(clusters.join(centrality, "node").join(sized, "node").withColumnRenamed("component", "cluster"), "members")
-    s.drop("stars")
+    s.drop("stars", "buckets")
     shape = members.groupBy("cluster").agg(
         F.max(F.struct("shared", -F.col("node")))["col2"].alias("hub"),
         F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
-    ).select("cluster", (-F.col("hub")).alias("hub"), "blocks")
+    )
+    shape = s.save(shape.select("cluster", (-F.col("hub")).alias("hub"), "blocks"), "shape")
     placed = members.join(shape, "cluster").select(F.col("node").alias("doc_id"), "cluster", "regs", "blocks", (F.col("node") == F.col("hub")).alias("hub"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
     sets = s.save(_sets(documents.select("doc_id", "text").join(placed, "doc_id"), k).withColumnRenamed("doc_id", "node"), "sets")
-    s.drop("members")
+    s.drop("members", "shape")
     everywhere = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = sets.withColumn("at", F.explode(everywhere)).select(F.xxhash64("cluster", "at").alias("g"), "cluster", "node", F.lit(True).alias("query"), "regs", "set")
     links = s.save(_verify(first, num, den), "links1")
@@ -295,9 +298,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
         within = links.join(large.select("cluster").distinct(), "cluster", "left_semi")
         parts = connected_components(within.select("a", "b"), s, "hub")
         state = s.save(large.join(parts, "node", "left").select("cluster", "node", "block", "blocks", F.coalesce("component", "node").alias("part")), "state")
-        main = state.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "part"))["part"].alias("main"))
+        main = s.save(state.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "part"))["part"].alias("main")), "main")
         rest = state.join(main, "cluster").where("part <> main")
-        blocks = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("rest_blocks"))
+        blocks = s.save(rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("rest_blocks")), "rest")
         rest = rest.join(blocks, "cluster").select("cluster", "node", F.pmod(F.xxhash64("node", F.lit(1)), "rest_blocks").cast("int").alias("rest_block"))
         own = sets.select("cluster", "node", "block", "blocks", "regs", "set")
         asked = own.join(rest, ["cluster", "node"]).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("cluster", "at", "rest_block").alias("g"), "cluster", "node", F.lit(True).alias("query"), "regs", "set")
@@ -305,7 +308,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
         more = s.save(_verify(asked.union(held), num, den), "links2")
         links = links.union(more)
     parts = s.save(connected_components(links.select("a", "b"), s, "link"), "parts")
-    s.drop("sets", "links1", "links2", "state")
+    s.drop("sets", "links1", "links2", "state", "main", "rest")
     named_reps = reps.join(parts, F.col("rep") == F.col("node"), "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("found"))
     return (
         sketches.select("doc_id", "n_shingles", "key_a", "key_b")
