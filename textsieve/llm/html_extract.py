@@ -213,7 +213,7 @@ def _token_stats(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "host", "html").mapInArrow(run, "host string, token long, role string, kind int, pages long, total long, vector long, place long, chars long")
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, n, tokens, region): the template of each host with at least two pages.
 
     tokens: (token, kind, outermost, place) of the classes that SUPPORT of the
@@ -221,6 +221,7 @@ def templates(pages: DataFrame) -> DataFrame:
     deepest role that holds REGION_SHARE of the text outside furniture.
     """
     sums = _token_stats(pages).groupBy("host", "token", "role", "kind").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place"), F.sum("chars").alias("chars"))
+    sums = scratch.save(sums.where("kind = 0 or pages >= 2"), "sums")
     hosts = sums.where("kind = 0").select("host", F.col("pages").alias("n"))
     common = sums.join(hosts, "host").where(f"pages >= 2 and kind > 0 and pages >= {SUPPORT} * n")
     classes = common.where("kind < 3").groupBy("host", "vector", "pages", "total").agg(F.collect_list(F.struct("token", "kind", "place")).alias("tokens"), F.first("n").alias("n"))
@@ -288,7 +289,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     K.tune(spark)
     s = Scratch(spark, "html")
     pages = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"))
-    found = s.save(templates(pages), "templates")
+    found = s.save(templates(pages, s), "templates")
+    s.drop("sums")
     small = found.select(F.sum(F.size("tokens"))).first()[0] or 0
     joined = pages.join(F.broadcast(found) if small <= BROADCAST_ROWS else found, "host", "left")
 
