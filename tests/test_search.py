@@ -7,7 +7,7 @@ from textsieve.engine import Engine
 from textsieve.errors import SearchError
 from textsieve.functions.globs import IgnoreRules, glob_regex
 from textsieve.operators.search import literal_matches, regex_matches, search_literal
-from textsieve.sources.corpus import is_text, text_filter
+from textsieve.sources.corpus import is_text, revision_of, snapshot_revision, text_filter
 from textsieve.streaming.feed import feed_postings
 
 
@@ -122,6 +122,11 @@ def test_index_outside_of_the_workspace(spark, tmp_path):
     assert not (tmp_path / "w" / ".gitignore").exists()
 
 
+def test_revisions_agree(spark):
+    rows = spark.createDataFrame([(f"p{i % 7}/{i}", f"h{i}") for i in range(50)], "path string, content_hash string")
+    assert revision_of(rows) == snapshot_revision(rows).first()[0]
+
+
 def test_streamed_postings(spark, tmp_path):
     spark.createDataFrame([(1, "foo bar"), (2, "bar")], "doc_id long, content string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("doc_id long, content string").parquet(str(tmp_path / "in"))

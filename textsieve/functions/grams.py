@@ -20,6 +20,8 @@ from textsieve.functions.weights import pair_weights, weight_column
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+#: Rows that are handed on at once.
+EMITTED = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -127,14 +129,23 @@ def term_hashes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, text in zip(ids, batch.column(1), strict=True):
+            held, size = [], 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes = codes_of(text.as_py() or "")
-                if len(codes) < 2:
-                    continue
-                s, e, _ = sparse_windows(codes)
-                hashes = np.unique(window_hashes(codes, s, e))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(hashes), i, dtype=np.int64))], names=["term_hash", "doc_id"])
+                if len(codes) > 1:
+                    start, end, _ = sparse_windows(codes)
+                    hashes = np.unique(window_hashes(codes, start, end))
+                    held.append((i, hashes))
+                    size += len(hashes)
+                if size > EMITTED:
+                    yield emitted(held)
+                    held, size = [], 0
+            if held:
+                yield emitted(held)
+
+    def emitted(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        ids = np.repeat(np.array([i for i, _ in held], dtype=np.int64), [len(h) for _, h in held])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, h in held])), pa.array(ids)], names=["term_hash", "doc_id"])
 
     return docs.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "term_hash long, doc_id long")
 

@@ -158,18 +158,30 @@ def read_head(spark: SparkSession, root: str, repo: str, prefix: str, head: str,
 
 
 def snapshot_revision(corpus: DataFrame) -> DataFrame:
-    """One row (revision): a digest of all paths and content hashes, in path order."""
+    """One row (revision): a digest of all paths and content hashes, in path order.
+
+    All of them meet in one row; ``revision_of`` gives the same for any size.
+    """
     rows = F.array_sort(F.collect_list(F.struct("path", "content_hash")))
     return corpus.agg(F.concat(F.lit("snapshot:"), F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["path"], F.lit(":"), r["content_hash"])), "\n"), 256)).alias("revision"))
 
 
+def revision_of(corpus: DataFrame) -> str:
+    """The digest of ``snapshot_revision``, from sorted rows that pass through the driver one partition at a time."""
+    digest, first = hashlib.sha256(), True
+    for path, content_hash in corpus.select("path", "content_hash").orderBy("path").toLocalIterator(prefetchPartitions=True):
+        digest.update(("" if first else "\n").encode() + f"{path}:{content_hash}".encode())
+        first = False
+    return f"snapshot:{digest.hexdigest()}"
+
+
 def discover(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> Discovered:
     """The corpus of a workspace: HEAD and work tree in git, else the files as they are."""
     include, exclude = include or ALL_FILES, exclude or []
     git = detect_git(root)
     working = read_files(spark, root, list_files(root, include, exclude), git is not None)
     if git is None:
-        return Discovered("snapshot", snapshot_revision(working).first()[0], working, working)
+        return Discovered("snapshot", revision_of(working), working, working)
     repo, prefix, head = git
     return Discovered("git", f"git:{head}", read_head(spark, root, repo, prefix, head, include, exclude), working)
 
