@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from textsieve.config import MAX_TERM
 from textsieve.functions.weights import pair_weights, weight_column
+from textsieve.session import share_package
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -147,6 +148,7 @@ def term_hashes(docs: DataFrame) -> DataFrame:
         ids = np.repeat(np.array([i for i, _ in held], dtype=np.int64), [len(h) for _, h in held])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, h in held])), pa.array(ids)], names=["term_hash", "doc_id"])
 
+    share_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "term_hash long, doc_id long")
 
 

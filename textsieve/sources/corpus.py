@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from textsieve.config import CACHE_DIR
 from textsieve.functions.globs import IgnoreRules, glob_regex
 from textsieve.schemas import CORPUS
+from textsieve.session import share_package
 
 #: Folders that are never searched, and the share of control bytes that makes a file binary.
 ALWAYS_IGNORED = (".git", CACHE_DIR, "node_modules", "dist")
@@ -121,6 +122,7 @@ def _read(spark: SparkSession, paths: list[str], read) -> DataFrame:
             rows = [r for r in read(list(frame["path"])) if r is not None]
             yield pd.DataFrame(rows, columns=CORPUS.names)
 
+    share_package(spark)
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
     return listed.repartition(max(1, min(len(paths), 64)), "path").mapInPandas(run, CORPUS)
 
