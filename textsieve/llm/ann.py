@@ -168,7 +168,7 @@ def sound(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (sizes["d"] if sizes else 0))
 
 
-def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, sample_rows: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates are
@@ -177,6 +177,10 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     null, zero, of an unusual length or hold null or non-finite components take
     no part, nor do rows without vec_id; repeated rows are candidates each.  An
     empty table gives no rows; only vec_id and embedding are read.
+
+    sample_rows bounds what the router is fitted on.  There is a part for each
+    PART rows of the sample, so for very large tables the sample should grow
+    with the square root of the table.
     """
     spark: SparkSession = embeddings.sparkSession
     K.tune(spark)
@@ -186,8 +190,8 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     empty = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], empty)
-    chosen = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) < round(1_000_000 * min(1.0, SAMPLE / n)))
-    sample = np.array([r["embedding"] for r in chosen.select("embedding").collect()], dtype=np.float64)  # about SAMPLE rows
+    chosen = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) < round(1_000_000 * min(1.0, sample_rows / n)))
+    sample = np.array([r["embedding"] for r in chosen.select("embedding").collect()], dtype=np.float64)  # about sample_rows
     router = learn(sample if len(sample) else np.ones((1, 1)), float(np.sqrt(square)), k)
     held = spark.sparkContext.broadcast(router)
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from textsieve.session import share_package
+
 U64 = np.uint64
 #: Bytes of text handled at once; a longer document forms a slice of its own.
 SLICE_BYTES = 1 << 21
@@ -177,5 +179,6 @@ def hash_words(text: str, word_byte: np.ndarray) -> np.ndarray:
 
 
 def tune(spark) -> None:
-    """Arrow batches small enough that a batch of long texts fits a worker."""
+    """Workers that find this package, and Arrow batches so small that a batch of long texts fits them."""
+    share_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
