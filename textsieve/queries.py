@@ -12,9 +12,11 @@ from textsieve.functions.globs import glob_regex
 from textsieve.functions.grams import covering_terms, gram_rows, masked_trigrams, pair_weight_array, sparse_term_array, term_hashes, trigram_rows
 from textsieve.functions.weights import FIRST, FREQUENCY, SCALE, SECOND, SPREAD, SYMBOL_BONUS, UNRANKED, weight_column
 from textsieve.operators.index import active_docs, candidates, overlay_diff
+from textsieve.operators.inspect import inspect_terms
 from textsieve.operators.search import literal_matches, regex_matches, search_literal
 from textsieve.plans.query_plan import explain, literal_condition, pruning
 from textsieve.plans.translate import translate
+from textsieve.plans.workflow import plan_search
 from textsieve.sources.corpus import snapshot_revision, table_corpus, text_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,6 +213,34 @@ def covering(spark, sf_dir):
     return spark.createDataFrame([(k, t.term, t.start, t.end, t.weight) for k in COVERINGS for t in covering_terms(k)], "literal string, term string, start int, stop int, weight int")
 
 
+# The sparse n-grams of one text.
+MAX_FILE_SIZE = "MA MAX MAX_ AX AX_ X_ X_F _F _FI _FIL _FILE _FILE_ _FILE_S FI FIL IL ILE LE LE_ E_ E_S _S _SI _SIZE SI SIZ SIZE IZ IZE ZE".split()
+
+
+@query("inspect_terms", _values(list(enumerate(MAX_FILE_SIZE)), "place, term"))
+def inspected(spark, sf_dir):
+    found = inspect_terms(spark, "MAX_FILE_SIZE").terms
+    return spark.createDataFrame([(i, t["term"]) for i, t in enumerate(found)], "place int, term string")
+
+
+# Objectives, and the sequence that is recommended with a fresh index.
+OBJECTIVES = [
+    ("find where SEARCH_TOKEN is used", "", "search.literal", "SEARCH_TOKEN"),
+    ("matches of `foo.*bar`", "", "search.regex", "foo.*bar"),
+    ("long lines", r"(?:\w+\s+){2,}\w+", "query.explain,search.regex", r"(?:\w+\s+){2,}\w+"),
+    ("find things", "", "search.literal", "things"),
+]
+
+
+@query("search_plan", _values(OBJECTIVES, "objective, pattern, sequence, searched"))
+def search_plan(spark, sf_dir):
+    rows = []
+    for objective, pattern, *_ in OBJECTIVES:
+        p = plan_search(objective, {"ready": True, "stale_paths": []}, pattern or None)
+        rows.append((objective, pattern, ",".join(p.sequence), p.literal_args["needle"] if p.literal_args else p.regex_args["pattern"]))
+    return spark.createDataFrame(rows, "objective string, pattern string, sequence string, searched string")
+
+
 @query("trigram_df", "SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM (SELECT doc_id, substr(text, i, 3) AS term FROM documents, unnest(range(1, length(text) - 1)) AS u(i)) GROUP BY term")
 def trigram_df(spark, sf_dir):
     per_doc = trigram_rows(_docs(spark, sf_dir).select("doc_id", "content")).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
