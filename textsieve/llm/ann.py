@@ -29,6 +29,8 @@ from textsieve.scratch import Scratch
 SAMPLE, PART = 8192, 256
 #: Links of each sample vector, room of a part above the mean, share of neighbours to find.
 LINKS, SLACK, AIM = 16, 1.1, 0.97
+#: Rows that the driver compares with the sample at once.
+ROWS_AT_ONCE = 128
 #: Most vectors of a part, and most queries, that are compared in one block.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 
@@ -70,13 +72,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def neighbours(x: np.ndarray, k: int) -> np.ndarray:
-    """The k rows of largest inner product of each row, itself left out."""
-    out = []
-    for at in range(0, len(x), 1024):
-        s = x[at : at + 1024] @ x.T
-        s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
-        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
+def neighbours(x: np.ndarray, k: int, of: np.ndarray | None = None) -> np.ndarray:
+    """The k rows of largest inner product, itself left out, of each row or of the rows ``of``."""
+    of, out = np.arange(len(x)) if of is None else of, []
+    for at in range(0, len(of), ROWS_AT_ONCE):
+        rows = of[at : at + ROWS_AT_ONCE]
+        s = x[rows] @ x.T
+        s[np.arange(len(rows)), rows] = -np.inf
+        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k].copy())
     return np.concatenate(out)
 
 
@@ -140,9 +143,7 @@ def learn(sample: np.ndarray, longest: float, k: int) -> Router:
     router = Router(weights, longest, parts)
     # visits: the fewest parts that hold AIM of the sample queries' nearest sample rows
     asked = np.arange(0, len(sample), max(1, len(sample) // 512))
-    s = sample[asked] @ sample.T
-    s[np.arange(len(asked)), asked] = -np.inf
-    top = np.argpartition(-s, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)]
+    top = neighbours(sample, min(k, len(sample) - 1), asked)
     placed = router.chance(sample, False).argmax(1)
     order = np.argsort(-router.chance(sample[asked], True), axis=1, kind="stable")
     rank = np.empty_like(order)
@@ -156,7 +157,7 @@ def learn(sample: np.ndarray, longest: float, k: int) -> Router:
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of equal length as a float64 matrix."""
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def sound(embeddings: DataFrame) -> DataFrame:
@@ -191,8 +192,9 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, sample_rows: in
     if not n:
         return spark.createDataFrame([], empty)
     chosen = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) < round(1_000_000 * min(1.0, sample_rows / n)))
-    sample = np.array([r["embedding"] for r in chosen.select("embedding").collect()], dtype=np.float64)  # about sample_rows
+    sample = _matrix(chosen.select("embedding").toArrow().column(0).combine_chunks())  # about sample_rows
     router = learn(sample if len(sample) else np.ones((1, 1)), float(np.sqrt(square)), k)
+    del sample
     held = spark.sparkContext.broadcast(router)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
