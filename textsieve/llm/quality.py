@@ -54,8 +54,12 @@ class Rows:
     def take(self, rows: np.ndarray) -> Rows:
         place = np.full(self.n, -1)
         place[rows] = np.arange(len(rows))
-        own = place[self.row] >= 0
-        return Rows(place[self.row[own]], self.column[own], self.value[own], len(rows))
+        own = np.flatnonzero(place[self.row] >= 0)
+        return Rows(place[self.row[own]].astype(np.int32), self.column[own], self.value[own], len(rows))
+
+    def small(self) -> Rows:
+        """The same in half the memory, for rows that are kept."""
+        return Rows(self.row.astype(np.int32), self.column.astype(np.int32), self.value.astype(np.float32), self.n)
 
 
 def content_view(data: np.ndarray, offsets: np.ndarray) -> tuple[Rows, np.ndarray]:
@@ -211,14 +215,15 @@ def views_of(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lang: list
     return content, page_view(own, bounds, lang, source, repetition)
 
 
-def _gather(rows: list) -> tuple[Rows, Rows]:
-    """Views of collected rows (text, lang, source, ...)."""
-    data, offsets = K.text_buffer(pa.array([r["text"] for r in rows], pa.string()))
-    parts = [views_of(data, offsets, lo, hi, [r["lang"] for r in rows[lo:hi]], [r["source"] for r in rows[lo:hi]]) for lo, hi in K.slices(offsets)]
+def _gather(table: pa.Table) -> tuple[Rows, Rows]:
+    """Views of fetched rows (text, lang, source, ...)."""
+    data, offsets = K.text_buffer(table.column("text"))
+    lang, source = table.column("lang").to_pylist(), table.column("source").to_pylist()
+    parts = [[v.small() for v in views_of(data, offsets, lo, hi, lang[lo:hi], source[lo:hi])] for lo, hi in K.slices(offsets)]
     joined = []
     for v in range(2):
-        shift = np.cumsum([0, *(p[v].n for p in parts)])
-        joined.append(Rows(*(np.concatenate([getattr(p[v], f) + (shift[i] if f == "row" else 0) for i, p in enumerate(parts)]) for f in ("row", "column", "value")), int(shift[-1])))
+        shift = np.cumsum([0, *(p[v].n for p in parts)]).astype(np.int32)
+        joined.append(Rows(*(np.concatenate([getattr(p[v], f) + shift[i] if f == "row" else getattr(p[v], f) for i, p in enumerate(parts)]) for f in ("row", "column", "value")), int(shift[-1])))
     return joined[0], joined[1]
 
 
@@ -236,7 +241,7 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark: SparkSession = documents.sparkSession
     K.tune(spark)
-    named = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    named = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000))
     n_docs, n_labels = documents.count(), named.count()
     if not n_docs:
@@ -245,13 +250,15 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
     fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("fold")
     taught = docs.join(F.broadcast(some), "doc_id").select(*docs.columns, "quality", "toxic", fold)  # LABELLED rows at most
-    pool = docs.where(draw < round(1_000_000 * min(1.0, POOL / n_docs))).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select(*docs.columns, F.lit(None).alias("quality"), F.lit(None).alias("toxic"), F.lit(False).alias("fold"))
-    rows = sorted(taught.collect(), key=lambda r: r["doc_id"]) + sorted(pool.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    pool = docs.where(draw < round(1_000_000 * min(1.0, POOL / n_docs))).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select(*docs.columns, F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"), F.lit(False).alias("fold"))
+    table = taught.unionByName(pool).toArrow().sort_by([(c, "ascending") for c in ("doc_id", "text", "lang", "source")])  # LABELLED + POOL rows
     models = None
-    if rows:
-        views = _gather(rows)
-        models = tuple(co_train(views, np.array([-1 if r[name] is None else int(r[name] > 0) for r in rows]), np.array([bool(r["fold"]) for r in rows])) for name in ("quality", "toxic"))
-        del views, rows
+    if table.num_rows:
+        views, fold = _gather(table), np.array(table.column("fold").to_pylist(), dtype=bool)
+        targets = [np.array([-1 if x is None else int(x > 0) for x in table.column(name).to_pylist()]) for name in ("quality", "toxic")]
+        del table
+        models = tuple(co_train(views, target, fold) for target in targets)
+        del views
     held = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
