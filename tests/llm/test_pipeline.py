@@ -48,3 +48,16 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     rows = P.run(spark, DATA).collect()
     assert len({r["doc_id"] for r in rows}) == len(rows) > 50
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op6_warc"])
+def test_oracle(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = entry.queries()[name](spark, DATA)
+    columns = sorted(df.columns)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(repr(tuple(r)) for r in df.select(columns).collect()) == sorted(map(repr, want))

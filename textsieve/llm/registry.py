@@ -13,6 +13,7 @@ from textsieve.llm.language_id import op8_language_id
 from textsieve.llm.license_scan import op3_license_scan
 from textsieve.llm.mixing import op9_mixing
 from textsieve.llm.near_dedup import op1_near_dedup
+from textsieve.llm.oracles import ORACLES as _SQL
 from textsieve.llm.quality import op4_quality
 from textsieve.llm.sharding import op7_sharding
 from textsieve.llm.warc import op6_warc
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": op10_ann,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(_SQL)
