@@ -26,6 +26,7 @@ def test_blocks_of_the_article():
         ("<main><p>a</p><div hidden>no</div><p style='display: none'>no</p></main>", "a"),
         ("<div><div class='sidebar'>x x x x x x x</div><div class='body'><p>long enough text</p><p>more of it</p></div></div>", "long enough text\nmore of it"),
         ("<article><p>&#65;&lt;b&gt; &eacute;</p></article", "A<b> é"),
+        ("<article class='has-sidebar'><div class='with-sidebar'><p>a</p></div><div class='topnav_x'>b</div><div id='userComments'>c</div></article>", "a"),
         ("<ARTICLE><P>Up</P></ARTICLE>", "Up"),
         ('<article><p title="a > b">q</p></article>', "q"),
     ],

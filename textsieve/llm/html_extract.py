@@ -48,6 +48,9 @@ NOISE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login search share sharing social "
     "related recommended recommendations comment comments commentlist disqus respond replies reply copyright disclaimer legal".split()
 )
+NOISE_STARTS = ("advert", "breadcrumb", "cookie", "newsletter", "navbar", "sidebar", "sidenav", "sponsor", "topnav")
+#: Words before one of those that say how a page is laid out: ``has-sidebar`` is no sidebar.
+LAYOUT = frozenset(("has", "no", "with", "without"))
 ROOTS = frozenset(("html", "body", "article", "main"))
 #: Start tags that end an open element: (what they end, where the search stops).
 ENDS = {
@@ -80,7 +83,8 @@ def _noisy(name: str, attributes: str) -> tuple[bool, str]:
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
             label.append(value)
-            if name not in ROOTS and any(w.lower() in NOISE_WORDS for w in WORD.findall(value)):
+            words = [w.lower() for w in WORD.findall(value)]
+            if name not in ROOTS and any((w in NOISE_WORDS or w.startswith(NOISE_STARTS)) and before not in LAYOUT for before, w in zip(["", *words], words, strict=False)):
                 noise = True
         elif key == "role" and value.lower() in NOISE_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             noise = True
