@@ -6,6 +6,9 @@ import pytest
 from textsieve.engine import Engine
 from textsieve.errors import SearchError
 from textsieve.functions.globs import IgnoreRules, glob_regex
+from textsieve.functions.grams import term_hashes
+from textsieve.operators.index import candidates
+from textsieve.plans.query_plan import pruning
 from textsieve.operators.search import literal_matches, regex_matches, search_literal
 from textsieve.sources.corpus import is_text, revision_of, snapshot_revision, text_filter
 from textsieve.streaming.feed import feed_postings
@@ -122,6 +125,15 @@ def test_index_outside_of_the_workspace(spark, tmp_path):
     assert not (tmp_path / "w" / ".gitignore").exists()
 
 
+@pytest.mark.parametrize("pattern", ["foo", "foo|bar", "foobar", "(foo|xyz)bar", "foo.*bar", "[fb]oo|zzz"])
+def test_pruned_search_equals_scan(spark, pattern):
+    texts = ["foo", "bar", "foobar", "xyzbar foo", "boo", "zzz", "fo o", "", None, "foo and bar"]
+    docs = spark.createDataFrame([(i, f"d{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, content string")
+    near = candidates(term_hashes(docs), pruning(pattern))
+    pruned = regex_matches(docs.join(near, "doc_id", "left_semi"), pattern).collect()
+    assert pruned == regex_matches(docs, pattern).collect() and near.select("doc_id").distinct().count() < len(texts)
+
+
 def test_revisions_agree(spark):
     rows = spark.createDataFrame([(f"p{i % 7}/{i}", f"h{i}") for i in range(50)], "path string, content_hash string")
     assert revision_of(rows) == snapshot_revision(rows).first()[0]

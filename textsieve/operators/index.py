@@ -40,11 +40,15 @@ def candidates(postings: DataFrame, condition) -> DataFrame | None:
     """(doc_id) of the documents that meet a condition over terms; None if any document may.
 
     One pass over the few terms' postings: a flag per term and document, then
-    the condition over the flags.
+    the condition over the flags.  Where any one term suffices the postings
+    themselves are the answer, without a shuffle; a document may then appear
+    more than once.
     """
     if condition is True:
         return None
     hashes = hashes_of(condition)
+    if isinstance(condition, str) or condition[0] == "or" and all(isinstance(p, str) for p in condition[1]):
+        return postings.where(F.col("term_hash").isin(list(hashes.values()))).select("doc_id")
     flags = {t: f"_t{i}" for i, t in enumerate(hashes)}
     held = postings.where(F.col("term_hash").isin(list(hashes.values()))).groupBy("doc_id").agg(*[F.max(F.col("term_hash") == h).alias(flags[t]) for t, h in hashes.items()])
     return held.where(condition_column(condition, {t: F.col(c) for t, c in flags.items()})).select("doc_id")

@@ -123,9 +123,9 @@ SELECT count(*) AS candidate_docs, coalesce(min(CASE WHEN cum >= 20 THEN rk END)
 )
 def literal_counters(spark, sf_dir):
     found = search_literal(_docs(spark, sf_dir), WORD, max_results=20)
-    matched = found.matches.agg(F.count("*").alias("match_count"), F.max("path").alias("last"))
-    reached = (F.col("match_count") >= 20) & F.col("last").isNotNull()
-    return found.candidates.crossJoin(F.broadcast(matched)).agg(F.count("*").alias("candidate_docs"), F.count(F.when(~reached | (F.col("path") <= F.col("last")), 1)).alias("scanned_docs"), F.max("match_count").alias("match_count"), F.coalesce(F.bool_or(reached), F.lit(False)).alias("truncated"))
+    matched = found.matches.agg(F.count("*").alias("n"), F.max("path").alias("last"))
+    n, last = matched.select("n").scalar(), matched.select("last").scalar()
+    return found.candidates.agg(F.count("*").alias("candidate_docs"), F.count(F.when((n < 20) | (F.col("path") <= last), 1)).alias("scanned_docs")).select("candidate_docs", "scanned_docs", n.alias("match_count"), (n >= 20).alias("truncated"))
 
 
 @query("pages_search", literal_sql("pages", 'class="ad"'))
@@ -328,11 +328,11 @@ EQUAL = ["License", r"(MIT|Apache) License", MAIL, "[Ll]icense"]
 def pruned_equals_scan(spark, sf_dir):
     docs, out = _docs(spark, sf_dir), None
     for p in EQUAL:
-        hits = docs.where(F.col("content").rlike(translate(p)))
-        near = docs.join(candidates(term_hashes(docs), pruning(p)), "doc_id", "left_semi").where(F.col("content").rlike(translate(p)))
-        row = near.agg(F.count("*").alias("pruned")).crossJoin(hits.agg(F.count("*").alias("scanned"))).select(F.lit(p).alias("pattern"), "pruned", "scanned")
-        out = row if out is None else out.union(row)
-    return out
+        hits = docs.where(F.col("content").rlike(translate(p))).select(F.lit(p).alias("pattern"), "doc_id")
+        near = hits.join(candidates(term_hashes(docs), pruning(p)), "doc_id", "left_semi")
+        rows = near.select("pattern", F.lit(1).alias("near"), F.lit(0).alias("all")).union(hits.select("pattern", F.lit(0), F.lit(1)))
+        out = rows if out is None else out.union(rows)
+    return out.groupBy("pattern").agg(F.sum("near").alias("pruned"), F.sum("all").alias("scanned"))
 
 
 # Layers: a working copy in which some documents are deleted, edited or new
