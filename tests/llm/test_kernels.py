@@ -46,3 +46,14 @@ def test_sliced_arrays_and_offsets():
     array = pa.array(["zz", "aa bb", "cc"]).slice(1)
     data, offsets = K.text_buffer(array)
     assert data.tobytes() == b"aa bbcc" and offsets.tolist() == [0, 5, 7]
+
+
+def test_long_texts_hash_like_short_ones(monkeypatch):
+    text = " ".join(f"word{i % 97} É{i % 13}" for i in range(4000)) + " " + "z" * 3000
+    data, offsets = K.text_buffer(pa.array([text]))
+    whole = K.words_of(data, offsets, K.ALNUM)
+    ranges = whole.start[::-7], whole.end[::-7]
+    want = whole.hashes(), whole.range_hashes(*ranges)
+    monkeypatch.setattr(K, "SLICE_BYTES", 500)
+    pieces = K.words_of(data, offsets, K.ALNUM)
+    assert (pieces.hashes() == want[0]).all() and (pieces.range_hashes(*ranges) == want[1]).all() and pieces.sums is None

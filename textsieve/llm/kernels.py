@@ -79,6 +79,21 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = to
 
 
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of the bytes' values, each times a power of the base."""
+    up, _ = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(BYTE_VALUE[data] * up[:-1], out=sums[1:])
+    return sums
+
+
+def _range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, down = powers(len(sums))
+    with np.errstate(over="ignore"):
+        return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 @dataclass
 class Words:
     """Words of a slice: byte ranges, document of each, first word of each document."""
@@ -91,14 +106,25 @@ class Words:
     sums: np.ndarray | None = None
 
     def range_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte range."""
-        n = len(self.data)
-        up, down = powers(n + 1)
-        with np.errstate(over="ignore"):
-            if self.sums is None:
-                self.sums = np.zeros(n + 1, dtype=np.uint64)
-                np.cumsum(BYTE_VALUE[self.data] * up[:n], out=self.sums[1:])
-            return mix64((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
+        """A 64-bit hash of each byte range.
+
+        It comes from running sums of weighted bytes.  Those of a long text are
+        made piece by piece, in the order of the ranges, so that memory stays
+        bounded; a hash does not depend on where the sums begin.
+        """
+        if len(self.data) > 2 * SLICE_BYTES and len(start):
+            out, order, at = np.empty(len(start), dtype=np.uint64), np.argsort(start, kind="stable"), 0
+            ordered = start[order]
+            while at < len(order):
+                to = int(np.searchsorted(ordered, ordered[at] + SLICE_BYTES, side="right"))
+                own = order[at:to]
+                low = int(ordered[at])
+                out[own] = _range_hashes(_sums(self.data[low : int(end[own].max())]), start[own] - low, end[own] - low)
+                at = to
+            return out
+        if self.sums is None:
+            self.sums = _sums(self.data)
+        return _range_hashes(self.sums, start, end)
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
