@@ -7,7 +7,7 @@ from textsieve.engine import Engine
 from textsieve.errors import SearchError
 from textsieve.functions.globs import IgnoreRules, glob_regex
 from textsieve.functions.grams import term_hashes
-from textsieve.operators.index import candidates
+from textsieve.operators.index import candidates, postings_of
 from textsieve.plans.query_plan import pruning
 from textsieve.operators.search import literal_matches, regex_matches, search_literal
 from textsieve.sources.corpus import is_text, revision_of, snapshot_revision, text_filter
@@ -144,3 +144,22 @@ def test_streamed_postings(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, content string").parquet(str(tmp_path / "in"))
     feed_postings(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select("doc_id").distinct().count() == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_push_down_and_prune(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"src/{i}.txt", f"foo bar {i}", "x") for i in range(50)], "doc_id long, path string, content string, unused string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    held = spark.read.parquet(str(tmp_path / "docs"))
+    postings_of(held).write.parquet(str(tmp_path / "postings"))
+    postings = spark.read.parquet(str(tmp_path / "postings"))
+    lookup = plan_of(candidates(postings, pruning("foo.*bar")))
+    assert "In(term_hash" in lookup and lookup.count("Exchange") <= 2
+    single = plan_of(candidates(postings, pruning("foo|bar")))
+    assert "Exchange" not in single and "In(term_hash" in single
+    scan = plan_of(literal_matches(held, "foo", path_globs=["src/1*"]))
+    assert "StringContains(content,foo)" in scan and "TakeOrderedAndProject" in scan and "unused" not in scan and "Python" not in scan
+    assert "Python" not in plan_of(regex_matches(held, r"foo\s\w+"))

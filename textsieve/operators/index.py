@@ -153,7 +153,7 @@ class Index:
             return self._empty_overlay()
         changed = [r["path"] for r in changes if r["change"] != "deleted"]
         deleted = [r["path"] for r in changes if r["change"] == "deleted"]
-        n = self._write_layer(found.working.where(F.col("path").isin(changed)), base_id, "overlay") if changed else 0
+        n = self._write_layer(found.working.join(self.spark.createDataFrame([(p,) for p in changed], "path string"), "path", "left_semi"), base_id, "overlay") if changed else 0
         digest = json.dumps({"sourceRevision": found.revision, "changed": [f"{r['path']}:{r['content_hash']}" for r in changes if r["change"] != "deleted"], "deletedPaths": deleted})
         return {"revision": safe_id("overlay", digest), "file_count": n, "changed": changed, "deleted": deleted}
 
