@@ -7,13 +7,15 @@ a host form an equivalence class.  A vector is never built: the aggregation
 keeps a fingerprint of it, so a host with a third of all pages is summed up on
 the map side like any other.
 
-Classes that at least half of the host's pages share make its template.  The
-class of tokens that stand exactly once on every page is the outermost one; it
-is valid on a page if its tokens keep their order there, and further classes
-nest in the gaps between its tokens.  What varies in the gaps are the slots.
-The content region is the slot that holds most of the varying text outside
-parts that the markup names as furniture; the text of a page is what its
-content slots hold, less text that the template itself repeats.
+Classes that at least half of the host's pages share make its template.  A
+token names the path of elements that it stands in, so a class nests in the
+element that the paths of its tokens share.  The class of tokens that stand
+exactly once on every page is the outermost one; it is valid on a page if each
+of them is there and they keep their order.  Where it is valid, the page is cut
+by the template: the content region is the deepest path whose slots hold most
+of the host's text outside parts that the markup names as furniture, and text
+that belongs to the template itself, being the same on nearly all pages, is no
+slot.  ``article`` and ``main`` elements name the region themselves.
 """
 
 from __future__ import annotations
