@@ -63,7 +63,7 @@ def term_hash(term: str) -> int:
     return int(window_hashes(codes, np.array([0]), np.array([len(codes)]))[0])
 
 
-def sparse_windows(codes: np.ndarray, longest: int = MAX_TERM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sparse_windows(codes: np.ndarray, longest: int = MAX_TERM, ordered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, weight) of all sparse n-grams of a text, by (start, end).
 
     All windows of one length are tested at once; the greatest weight inside a
@@ -85,6 +85,8 @@ def sparse_windows(codes: np.ndarray, longest: int = MAX_TERM) -> tuple[np.ndarr
     if not starts:
         return (np.zeros(0, dtype=np.int64),) * 3
     s, e, x = np.concatenate(starts), np.concatenate(ends), np.concatenate(weights)
+    if not ordered:
+        return s, e, x
     order = np.lexsort((e, s))
     return s[order], e[order], x[order]
 
@@ -134,7 +136,7 @@ def term_hashes(docs: DataFrame) -> DataFrame:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes = codes_of(text.as_py() or "")
                 if len(codes) > 1:
-                    start, end, _ = sparse_windows(codes)
+                    start, end, _ = sparse_windows(codes, ordered=False)
                     hashes = np.unique(window_hashes(codes, start, end))
                     held.append((i, hashes))
                     size += len(hashes)
