@@ -74,6 +74,16 @@ def test_leaks(spark):
     assert set(got) == {(0, 9)}
 
 
+def test_leaks_rich_in_slots(spark):
+    """Verbatim copies match whatever their windows hold; other values are counted over the windows that can match."""
+    sums, names, caps = "12 7 30 4 55 6 71 8 9 10", "Anna Berg, Carl Dahl, Eva Falk, Gita Holm, Ivan Jung", "WHAT IS THE SUM OF ALL ODD NUMBERS BELOW"
+    mixed = "count all of the values in the table below 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18"
+    texts = [f"so {t} end" for t in (sums, names, caps, mixed)] + [re.sub(r"\d+", lambda m: str(int(m[0]) + 100), t) for t in (sums, mixed)] + [caps.lower()]
+    got = leaks(spark, texts, list(enumerate((sums, names, caps, mixed))))
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 3), (6, 2)}
+    assert all(got[i, i]["exact"] and got[i, i]["coverage"] == 1.0 for i in range(4)) and got[5, 3]["coverage"] == 1.0 and not got[5, 3]["exact"]
+
+
 def test_leaks_of_empty_tables(spark):
     assert leaks(spark, ["a b c d e f"], []) == {}
     assert find_leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 0

@@ -9,6 +9,12 @@ alignment counts if it covers enough of the item and its slots are consistent:
 each value of the item stands for one value of the document and the other way
 round.  So a question with other numbers or names in the same places is caught.
 
+Windows of mostly placeholders say too little to stand for a template: tables
+of numbers would match each other.  Therefore every window with placeholders is
+also sent as its raw words, so that a verbatim copy (in any case of letters)
+matches however rich in numbers or names it is; with other values, an item is
+known by its other windows alone, and its coverage is counted over these.
+
 Documents send on only windows that a bit table of the benchmark's window
 hashes lets pass; the table has a fixed size, whatever the benchmark's size.
 """
@@ -35,11 +41,11 @@ UNITS = "mm cm m km ft feet inch inches mile miles yard yards g kg mg lb lbs oz
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x11D7A3C5B9E80F21, 0x22E8B4D6CAF91032, 0x33F9C5E7DB0A2143))
 _FACTORS = np.random.default_rng(9151).integers(1, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SCHEMA = "id long, at int, size int, hash long, slots array<long>, total int"
+SCHEMA = "id long, at int, size int, hash long, slots array<long>, total int, light boolean"
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarray, np.ndarray]:
-    """(words, canonical hashes, slot values): a slot value is 0 where a word stands for itself."""
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, raw hashes, canonical hashes, slot values): a slot value is 0 where a word stands for itself."""
     digit = (data >= 48) & (data <= 57)
     point = np.zeros(len(data), dtype=bool)
     if len(data) > 2:
@@ -47,7 +53,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarra
     words = K.words_of(data, offsets, K.ALNUM, point)
     raw = words.hashes()
     if not len(raw):
-        return words, raw, raw
+        return words, raw, raw, raw
     figures = np.concatenate([[0], np.cumsum(digit | point)])
     number = figures[words.end] - figures[words.start] == words.end - words.start
     stop = np.isin(data, np.frombuffer(b".?!:;\n\r\"", dtype=np.uint8)) & ~point
@@ -61,28 +67,43 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarra
     unit = follows & np.isin(raw, K.hash_words(" ".join(UNITS), K.ALNUM))
     form = raw.copy()
     form[name], form[unit], form[number] = _NAME, _UNIT, _NUMBER
-    return words, form, np.where(name | unit | number, raw | np.uint64(1), np.uint64(0))
+    return words, raw, form, np.where(name | unit | number, raw | np.uint64(1), np.uint64(0))
 
 
-def _windows(words: K.Words, form: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, hashes) of the windows within documents of which half the words stand for themselves."""
+def _sums(form: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
     n = max(len(form) - size + 1, 0)
     sums = np.full(n, size, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(size):
             sums += form[j : j + n] * _FACTORS[j]
+    return K.mix64(sums)
+
+
+def _windows(words: K.Words, raw: np.ndarray, form: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, hashes, light) of the windows within documents.
+
+    A window is light if at least half of its words stand for themselves.  Light
+    windows are sent in canonical form, those with slots also as raw words.
+    """
+    n = max(len(form) - size + 1, 0)
     plain = np.concatenate([[0], np.cumsum(slot == 0)])
-    ok = (words.doc[:n] == words.doc[size - 1 : size - 1 + n]) & (2 * (plain[size : size + n] - plain[:n]) >= size)
-    at = np.flatnonzero(ok)
-    return at, K.mix64(sums[at])
+    plain = plain[size : size + n] - plain[:n]
+    own = words.doc[:n] == words.doc[size - 1 : size - 1 + n]
+    light = 2 * plain >= size
+    template, verbatim = np.flatnonzero(own & light), np.flatnonzero(own & (plain < size))
+    at = np.concatenate([template, verbatim])
+    return at, np.concatenate([_sums(form, size)[template], _sums(raw, size)[verbatim]]), light[at]
 
 
 def windows(rows: DataFrame, sizes: list[int] | None, table: np.ndarray | None = None) -> DataFrame:
-    """Windows of rows (id, text): (id, at, size, hash, slots, total).
+    """Windows of rows (id, text): (id, at, size, hash, slots, total, light).
 
-    sizes None: each text is cut into windows of WINDOW words, or is one window
-    if it has fewer; total is their number.  table: only windows whose bit is
-    set are returned.
+    sizes None: each text is an item, cut into windows of WINDOW words, or one
+    window if it has fewer; total is the number of places of windows, and slots
+    are 0 where a word stands for itself.  Else all words are slots: those of
+    the item say which count.  table: only windows whose bit is set are
+    returned.  light: whether the window can be sent in canonical form.
     """
     held = rows.sparkSession.sparkContext.broadcast(table) if table is not None else None
 
@@ -92,21 +113,22 @@ def windows(rows: DataFrame, sizes: list[int] | None, table: np.ndarray | None =
             ids = batch.column(0)
             for lo, hi in K.slices(offsets):
                 at = offsets[lo : hi + 1]
-                words, form, slot = canonical(data[at[0] : at[-1]], at - at[0])
+                words, raw, form, slot = canonical(data[at[0] : at[-1]], at - at[0])
                 counts = np.diff(words.first)
+                values = slot if sizes is None else raw | np.uint64(1)
                 for size in sizes or range(LEAST, WINDOW + 1):
-                    start, hashes = _windows(words, form, slot, size)
+                    start, hashes, light = _windows(words, raw, form, slot, size)
                     if held is not None:
                         bit = hashes >> np.uint64(64 - TABLE_BITS)
                         hit = (held.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                        start, hashes = start[hit], hashes[hit]
+                        start, hashes, light = start[hit], hashes[hit], light[hit]
                     doc = words.doc[start]
                     if sizes is None:
                         own = counts[doc] >= WINDOW if size == WINDOW else counts[doc] == size
-                        start, hashes, doc = start[own], hashes[own], doc[own]
+                        start, hashes, light, doc = start[own], hashes[own], light[own], doc[own]
                     if not len(start):
                         continue
-                    slots = slot[start[:, None] + np.arange(size)[None, :]].view(np.int64)
+                    slots = values[start[:, None] + np.arange(size)[None, :]].view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array(doc + lo)),
@@ -115,8 +137,9 @@ def windows(rows: DataFrame, sizes: list[int] | None, table: np.ndarray | None =
                             pa.array(hashes.view(np.int64)),
                             pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1, dtype=np.int32) * size), pa.array(slots.reshape(-1))),
                             pa.array((counts[doc] - size + 1).astype(np.int32)),
+                            pa.array(light),
                         ],
-                        names=["id", "at", "size", "hash", "slots", "total"],
+                        names=["id", "at", "size", "hash", "slots", "total", "light"],
                     )
 
     return rows.mapInArrow(run, SCHEMA)
@@ -135,9 +158,10 @@ def bit_table(items: DataFrame) -> np.ndarray:
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, matched_windows, exact): pairs of a document and an item in it.
 
-    coverage: share of the item's windows in the pair's best alignment; exact:
-    whether all its slot values are equal, else the item stands there
-    re-parameterised.  Alignments with inconsistent slots do not count.  Null
+    coverage: share of the item's windows in the pair's best alignment, or, if
+    more, of those that hold at most half placeholders, which are all that can
+    match with other values; exact: whether all slot values are equal, else the
+    item stands there re-parameterised.  Alignments with inconsistent slots do not count.  Null
     ids and null or empty texts match nothing, nor do items of fewer than LEAST
     words; repeated rows give one pair; of equal alignments the exact one is
     reported.  An empty table gives no rows.  Other columns are not read.
@@ -147,28 +171,32 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     s = Scratch(spark, "leaks")
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")
     items = s.save(windows(rows, None).distinct(), "items")
+    light = items.where("light").groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("at").alias("light_total"))
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW values
     if not sizes:
         return spark.createDataFrame([], "doc_id long, item_id long, coverage double, matched_windows long, exact boolean")
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     found = windows(docs, sizes, bit_table(items))
-    theirs = items.select("hash", "size", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("total").alias("item_total"))
+    theirs = items.withColumnRenamed("id", "item_id").join(light, "item_id", "left").select("hash", "size", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("total").alias("item_total"), F.col("light").alias("item_light"), "light_total")
     pairs = found.join(theirs, ["hash", "size"]).select(
         F.col("id").alias("doc_id"),
         "item_id",
         (F.col("at") - F.col("item_at")).alias("shift"),
         "item_at",
         "item_total",
+        "item_light",
+        "light_total",
         F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0).alias("slots"),
     )
     runs = pairs.groupBy("doc_id", "item_id", "shift").agg(
-        F.count_distinct("item_at").alias("n"), F.max("item_total").alias("total"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.count_distinct("item_at").alias("n"), F.max("item_total").alias("total"), F.count_distinct(F.when(F.col("item_light"), F.col("item_at"))).alias("light"), F.max("light_total").alias("light_total"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     named = F.transform(F.col("slots"), lambda x: x["item_slots"])
     values = F.transform(F.col("slots"), lambda x: x["slots"])
     consistent = (F.size(F.array_distinct(named)) == F.size("slots")) & (F.size(F.array_distinct(values)) == F.size("slots"))
-    good = runs.where(consistent & ((F.col("n") >= COVERAGE * F.col("total")) | (F.col("n") >= ENOUGH)))
-    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n") / F.col("total")).alias("coverage"), F.col("n"), F.forall("slots", lambda x: x["item_slots"] == x["slots"]).alias("exact"))).alias("b"))
+    runs = runs.withColumn("coverage", F.greatest(F.col("n") / F.col("total"), F.col("light") / F.col("light_total")))
+    good = runs.where(consistent & ((F.col("coverage") >= COVERAGE) | (F.col("n") >= ENOUGH)))
+    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "n", F.forall("slots", lambda x: x["item_slots"] == x["slots"]).alias("exact"))).alias("b"))
     return best.select("doc_id", "item_id", "b.coverage", F.col("b.n").alias("matched_windows"), "b.exact")
 
 
