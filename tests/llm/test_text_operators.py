@@ -84,6 +84,14 @@ def test_leaks_rich_in_slots(spark):
     assert all(got[i, i]["exact"] and got[i, i]["coverage"] == 1.0 for i in range(4)) and got[5, 3]["coverage"] == 1.0 and not got[5, 3]["exact"]
 
 
+def test_leaks_whatever_stands_before(spark):
+    """The first word of an item is plain there and a name or a unit inside a sentence."""
+    items = ["Short item of 5 words", "Hours of waiting cost 3 dollars"]
+    texts = ["they asked Short item of 5 words and left", "they asked, Short item of 7 words and left", "it took 9 hours of waiting cost 4 dollars", "they asked Another item of 5 words"]
+    got = leaks(spark, texts, list(enumerate(items)))
+    assert {k: r["exact"] for k, r in got.items()} == {(0, 0): True, (1, 0): False, (2, 1): False}
+
+
 def test_leaks_of_empty_tables(spark):
     assert leaks(spark, ["a b c d e f"], []) == {}
     assert find_leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 0

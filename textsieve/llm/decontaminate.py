@@ -14,6 +14,8 @@ of numbers would match each other.  Therefore every window with placeholders is
 also sent as its raw words, so that a verbatim copy (in any case of letters)
 matches however rich in numbers or names it is; with other values, an item is
 known by its other windows alone, and its coverage is counted over these.
+What stands before a window decides whether its first word opens a sentence or
+follows a number, so a name or unit there is also sent as the word it is.
 
 Documents send on only windows that a bit table of the benchmark's window
 hashes lets pass; the table has a fixed size, whatever the benchmark's size.
@@ -71,29 +73,34 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarra
 
 
 def _sums(form: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` words."""
+    """Weighted sums of all runs of ``size`` words."""
     n = max(len(form) - size + 1, 0)
     sums = np.full(n, size, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(size):
             sums += form[j : j + n] * _FACTORS[j]
-    return K.mix64(sums)
+    return sums
 
 
 def _windows(words: K.Words, raw: np.ndarray, form: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first words, hashes, light) of the windows within documents.
 
-    A window is light if at least half of its words stand for themselves.  Light
-    windows are sent in canonical form, those with slots also as raw words.
+    A form is light if at least half of its words stand for themselves.  Light
+    windows are sent in canonical form, those with slots also as raw words, and
+    those whose first word is a name or a unit also with this word as it is.
     """
     n = max(len(form) - size + 1, 0)
     plain = np.concatenate([[0], np.cumsum(slot == 0)])
     plain = plain[size : size + n] - plain[:n]
     own = words.doc[:n] == words.doc[size - 1 : size - 1 + n]
-    light = 2 * plain >= size
-    template, verbatim = np.flatnonzero(own & light), np.flatnonzero(own & (plain < size))
-    at = np.concatenate([template, verbatim])
-    return at, np.concatenate([_sums(form, size)[template], _sums(raw, size)[verbatim]]), light[at]
+    depends = (slot[:n] != 0) & (form[:n] != _NUMBER)
+    light, freed = 2 * plain >= size, depends & (2 * (plain + 1) >= size)
+    template, verbatim, first = np.flatnonzero(own & light), np.flatnonzero(own & (plain < size)), np.flatnonzero(own & freed & (plain + 1 < size))
+    sums = _sums(form, size)
+    with np.errstate(over="ignore"):
+        hashes = [sums[template], _sums(raw, size)[verbatim], sums[first] + (raw[first] - form[first]) * _FACTORS[0]]
+    at = np.concatenate([template, verbatim, first])
+    return at, K.mix64(np.concatenate(hashes)), (light | freed)[at]
 
 
 def windows(rows: DataFrame, sizes: list[int] | None, table: np.ndarray | None = None) -> DataFrame:
