@@ -52,3 +52,14 @@ def test_copies_on_a_host_keep_their_text(spark):
     rows = [(i, f"http://h.example/{i}", page.format("same text" if i % 2 else f"other {i}")) for i in range(20)]
     got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "same text" and got[2] == "other 2"
+
+
+def test_region_is_a_container(spark):
+    """Headings, lists, tables and quotes beside the paragraphs of the region stay, by markup and by template."""
+    page = "<html><body><div class='x0'><p>Top</p></div><div class='x1 w-1/2'><h1>Head {i}</h1><p class='w-1/2'>{text}</p><ul><li>item {i}</ul><table><tr><td>cell {i}</table><blockquote><p>quote {i}</p></blockquote><pre>code {i}</pre></div></body></html>"
+    want = "Head {i}\n{text}\nitem {i}\ncell {i}\nquote {i}\ncode {i}"
+    value = lambda i: {"i": i, "text": f"long text {i} " * 20 + "end"}
+    assert extract(page.format(**value(1)), None) == want.format(**value(1))
+    rows = [(i, f"http://h.example/{i}", page.format(**value(i))) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == want.format(**value(i)) for i in range(12))

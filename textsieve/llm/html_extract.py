@@ -53,6 +53,8 @@ NOISE_WORDS = frozenset(
 NOISE_STARTS = ("advert", "breadcrumb", "cookie", "newsletter", "navbar", "sidebar", "sidenav", "sponsor", "topnav")
 #: Words before one of those that say how a page is laid out: ``has-sidebar`` is no sidebar.
 LAYOUT = frozenset(("has", "no", "with", "without"))
+#: Blocks that make up a text; the region of a text is an element that holds them.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th pre blockquote figure figcaption details summary address".split())
 ROOTS = frozenset(("html", "body", "article", "main"))
 #: Start tags that end an open element: (what they end, where the search stops).
 ENDS = {
@@ -90,7 +92,7 @@ def _noisy(name: str, attributes: str) -> tuple[bool, str]:
                 noise = True
         elif key == "role" and value.lower() in NOISE_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             noise = True
-    return noise, "." + " ".join(label) if label else ""
+    return noise, "." + " ".join(label).replace("/", "|") if label else ""
 
 
 def parse(page: str) -> list[tuple[str, str | None, bool, bool]]:
@@ -180,6 +182,15 @@ def hash64(s: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _containers(role: str) -> list[str]:
+    """Steps of a role down to the element that holds the text's block; a cell with class or id holds the blocks in it."""
+    parts = role.split("/")
+    n = len(parts)
+    while n > 1 and parts[n - 1].split(".", 1)[0] in PARTS and not (n < len(parts) and parts[n - 1].startswith("td.")):
+        n -= 1
+    return parts[:n]
+
+
 def _token_stats(pages: DataFrame) -> DataFrame:
     """(host, token, role, kind, pages, total, vector, place, chars): partial sums over the pages of a batch.
 
@@ -199,7 +210,7 @@ def _token_stats(pages: DataFrame) -> DataFrame:
                     x = seen.setdefault((_key(role, text), role, kind), [0, place, 0])
                     x[0] += 1
                     if kind == 2 and not noise:
-                        parts = role.split("/")
+                        parts = _containers(role)
                         for depth in range(2, len(parts) + 1):
                             y = seen.setdefault((hash64(up := "/".join(parts[:depth])), up, 3), [0, 0, 0])
                             y[0] += 1
@@ -224,7 +235,7 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
     tokens: (token, kind, outermost, place) of the classes that SUPPORT of the
     pages share; at most as many as two pages have on average.  region: the
-    deepest role that holds REGION_SHARE of the text outside furniture.
+    deepest container that holds REGION_SHARE of the text outside furniture.
     """
     sums = _token_stats(pages).groupBy("host", "token", "role", "kind").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place"), F.sum("chars").alias("chars"))
     sums = scratch.save(sums.where("kind = 0 or pages >= 2"), "sums")
@@ -272,10 +283,10 @@ def extract(page: str | None, template: _Template | None) -> str:
 
 
 def _own_region(blocks: list[tuple[str, str, bool]]) -> str:
-    """The deepest role that holds REGION_SHARE of a page's text: for pages that no template fits."""
+    """The deepest container that holds REGION_SHARE of a page's text: for pages that no template fits."""
     mass: dict[str, int] = {}
     for role, text, _ in blocks:
-        parts = role.split("/")
+        parts = _containers(role)
         for depth in range(1, len(parts) + 1):
             up = "/".join(parts[:depth])
             mass[up] = mass.get(up, 0) + len(text)
