@@ -63,3 +63,14 @@ def test_region_is_a_container(spark):
     rows = [(i, f"http://h.example/{i}", page.format(**value(i))) for i in range(12)]
     got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == want.format(**value(i)) for i in range(12))
+
+
+@pytest.mark.parametrize("region", ["article", "div class='x1'"])
+def test_near_copies_on_a_host_keep_their_text(spark, region):
+    """Versions of one article, of which one paragraph is edited, are no template."""
+    page = "<html><body><div class='x0'><p>top</p></div><{}><p>{}</p><p>{}</p><p>edited {}</p></{}></body></html>"
+    one, two = "first unchanged part " * 8 + "end", "second unchanged part " * 8 + "end"
+    rows = [(i, f"http://h.example/{i}", page.format(region, one, two, i, region.split()[0])) for i in range(18)]
+    rows += [(i, f"http://h.example/{i}", page.format(region, f"other {i} " * 20 + "end", f"text {i}", i, region.split()[0])) for i in (18, 19)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{one}\n{two}\nedited {i}" for i in range(18)) and got[19].endswith("\ntext 19\nedited 19")

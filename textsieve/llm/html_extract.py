@@ -15,7 +15,9 @@ of them is there and they keep their order.  Where it is valid, the page is cut
 by the template: the content region is the deepest path whose slots hold most
 of the host's text outside parts that the markup names as furniture, and text
 that belongs to the template itself, being the same on nearly all pages, is no
-slot.  ``article`` and ``main`` elements name the region themselves.
+slot if the rest of the page, four fifths of it or more, differs: else the pages
+are near copies of each other, whose text stays.  ``article`` and ``main``
+elements name the region themselves, and all text in them stays.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from textsieve.scratch import Scratch
 
 #: Share of a host's pages that a template token occurs on, and that template text does.
 SUPPORT, TEXT_SUPPORT, TEXT_PAGES = 0.5, 0.9, 10
+#: Largest share of a page's text that repeated text may have to be taken as the template's; pages with more are near copies.
+REPEATED = 0.2
 #: Share of the varying text that the content region must hold.
 REGION_SHARE = 0.6
 #: Largest template table that is broadcast, in rows; beyond it the join shuffles.
@@ -270,15 +274,17 @@ def extract(page: str | None, template: _Template | None) -> str:
     blocks = [(role, text, inside) for role, text, noise, inside in tokens if text is not None and not noise]
     if not blocks:
         return ""
-    if any(inside for *_, inside in blocks):
+    if any(inside for *_, inside in blocks):  # the markup names the region: nothing in it goes for being repeated
         found = [(role, text) for role, text, inside in blocks if inside]
     else:
         fits = template is not None and template.region and template.valid([_key(r, t) for r, t, *_ in tokens if t is None])
         region = template.region if fits else _own_region(blocks)
         found = [(role, text) for role, text, _ in blocks if role == region or role.startswith(region + "/")] or [(r, t) for r, t, _ in blocks]
-    if template is not None and template.text:
-        slots = [(role, text) for role, text in found if _key(role, text) not in template.text]
-        found = slots or found
+        if template is not None and template.text:
+            slots = [(role, text) for role, text in found if _key(role, text) not in template.text]
+            size = sum(len(text) for _, text in found)
+            if size - sum(len(text) for _, text in slots) <= REPEATED * size:
+                found = slots
     return "\n".join(text for _, text in found)
 
 
