@@ -1,17 +1,15 @@
-"""HTML extraction by equivalence-class template deduction.
+"""HTML extraction by token counts over the pages of a host.
 
 Pages of one host come from one template, so its tokens (start tags and text
 blocks, told apart by the path of block elements they stand in) occur equally
-often on each page.  Tokens with the same occurrence vector over the pages of
-a host form an equivalence class.  A vector is never built: the aggregation
-keeps a fingerprint of it, so a host with a third of all pages is summed up on
-the map side like any other.
-
-Classes that at least half of the host's pages share make its template.  A
-token names the path of elements that it stands in, so a class nests in the
-element that the paths of its tokens share.  The class of tokens that stand
-exactly once on every page is the outermost one; it is valid on a page if each
-of them is there and they keep their order.  Where it is valid, the page is cut
+often on each page.  This replaces equivalence classes nested into a template:
+tokens are grouped by a fingerprint of their occurrences, but no class is nested
+into another, and only how many pages hold a token and how often decides.
+
+Tokens that at least half of the host's pages share make its template.  Start
+tags that stand exactly once on every page are the outermost ones; the template
+is valid on a page if each of them is there and they keep their order.
+Where it is valid, the page is cut
 by the template: the content region is the deepest path whose slots hold most
 of the host's text outside parts that the markup names as furniture, and text
 that belongs to the template itself, being the same on nearly all pages, is no
