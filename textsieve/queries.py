@@ -50,6 +50,7 @@ PLACES = "path, start, line, col, end_line, end_col, match"
 
 
 def _places(matches: DataFrame) -> DataFrame:
+    """Places as the SQL names them; ask for matches without context."""
     return matches.select("path", "start", "line", F.col("column").alias("col"), "end_line", F.col("end_column").alias("end_col"), "match")
 
 
@@ -91,22 +92,22 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("literal_matches", literal_sql("documents", WORD))
 def literal_all(spark, sf_dir):
-    return _places(literal_matches(_docs(spark, sf_dir), WORD, max_results=None))
+    return _places(literal_matches(_docs(spark, sf_dir), WORD, max_results=None, context=False))
 
 
 @query("literal_matches_ci", literal_sql("documents", WORD, fold=True))
 def literal_ci(spark, sf_dir):
-    return _places(literal_matches(_docs(spark, sf_dir), WORD, case_sensitive=False, max_results=None))
+    return _places(literal_matches(_docs(spark, sf_dir), WORD, case_sensitive=False, max_results=None, context=False))
 
 
 @query("literal_path_glob", literal_sql("documents", WORD, "(regexp_matches(path, '^src1[^/]*/en/') OR regexp_matches(path, '^src2/'))"))
 def literal_glob(spark, sf_dir):
-    return _places(literal_matches(_docs(spark, sf_dir), WORD, path_globs=["src1*/en/*.txt", "src2/**"], max_results=None))
+    return _places(literal_matches(_docs(spark, sf_dir), WORD, path_globs=["src1*/en/*.txt", "src2/**"], max_results=None, context=False))
 
 
 @query("literal_topk", literal_sql("documents", WORD, tail="ORDER BY path, start LIMIT 20"))
 def literal_topk(spark, sf_dir):
-    return _places(literal_matches(_docs(spark, sf_dir), WORD, max_results=20))
+    return _places(literal_matches(_docs(spark, sf_dir), WORD, max_results=20, context=False))
 
 
 @query("literal_context", literal_sql("documents", "example.com", columns="path, start, before, current, after", before=2, after=2))
@@ -123,19 +124,20 @@ SELECT count(*) AS candidate_docs, coalesce(min(CASE WHEN cum >= 20 THEN rk END)
 )
 def literal_counters(spark, sf_dir):
     found = search_literal(_docs(spark, sf_dir), WORD, max_results=20)
-    matched = found.matches.agg(F.count("*").alias("n"), F.max("path").alias("last"))
+    matched = found.places.agg(F.count("*").alias("n"), F.max("path").alias("last"))
     n, last = matched.select("n").scalar(), matched.select("last").scalar()
-    return found.candidates.agg(F.count("*").alias("candidate_docs"), F.count(F.when((n < 20) | (F.col("path") <= last), 1)).alias("scanned_docs")).select("candidate_docs", "scanned_docs", n.alias("match_count"), (n >= 20).alias("truncated"))
+    seen = found.candidates.select(((n < 20) | (F.col("path") <= last)).alias("seen"))
+    return seen.agg(F.count("*").alias("candidate_docs"), F.count_if("seen").alias("scanned_docs")).select("candidate_docs", "scanned_docs", n.alias("match_count"), (n >= 20).alias("truncated"))
 
 
 @query("pages_search", literal_sql("pages", 'class="ad"'))
 def pages_search(spark, sf_dir):
-    return _places(literal_matches(table_corpus(spark, sf_dir, "pages"), 'class="ad"', max_results=None))
+    return _places(literal_matches(table_corpus(spark, sf_dir, "pages"), 'class="ad"', max_results=None, context=False))
 
 
 @query("conversation_search", regex_sql("conversations", r"\bthe (\w+)\b", "path LIKE 'user/%'"))
 def conversation_search(spark, sf_dir):
-    return _places(regex_matches(table_corpus(spark, sf_dir, "conversations"), r"\bthe (\w+)\b", path_globs=["user/**"], max_results=None))
+    return _places(regex_matches(table_corpus(spark, sf_dir, "conversations"), r"\bthe (\w+)\b", path_globs=["user/**"], max_results=None, context=False))
 
 
 # Regex searches
@@ -144,7 +146,7 @@ def conversation_search(spark, sf_dir):
 def _regex(name: str, pattern: str, flags: str = "", sql: str | None = None) -> None:
     @query(name, regex_sql("documents", sql or pattern))
     def run(spark, sf_dir):
-        return _places(regex_matches(_docs(spark, sf_dir), pattern, flags, max_results=None))
+        return _places(regex_matches(_docs(spark, sf_dir), pattern, flags, max_results=None, context=False))
 
 
 _regex("regex_matches", IP)
@@ -318,7 +320,7 @@ def posting_union(spark, sf_dir):
 def pruned_search(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     found = candidates(term_hashes(docs), pruning(MAIL))
-    return _places(regex_matches(docs.join(found, "doc_id", "left_semi"), MAIL, max_results=None))
+    return _places(regex_matches(docs.join(found, "doc_id", "left_semi"), MAIL, max_results=None, context=False))
 
 
 EQUAL = ["License", r"(MIT|Apache) License", MAIL, "[Ll]icense"]
@@ -378,7 +380,7 @@ def active(spark, sf_dir):
 
 @query("tombstone_search", _LAYERS_SQL + " SELECT path, len(string_split(content, 'License')) - 1 AS n FROM work WHERE contains(content, 'License')")
 def tombstones(spark, sf_dir):
-    return literal_matches(_active(spark, sf_dir), WORD, max_results=None).groupBy("path").agg(F.count("*").alias("n"))
+    return literal_matches(_active(spark, sf_dir), WORD, max_results=None, context=False).groupBy("path").agg(F.count("*").alias("n"))
 
 
 # Fingerprints and filters
