@@ -107,24 +107,37 @@ def sparse_terms(text: str, longest: int = MAX_TERM) -> list[Term]:
 def covering_terms(text: str, longest: int = MAX_TERM) -> list[Term]:
     """The fewest sparse n-grams that overlap or touch from start to end; of equally few, the heaviest and longest.
 
-    Ties keep the chain that was found first, taking positions and terms in order.
+    A cover of the first e characters is a cover of fewer plus a term that ends
+    at e and begins no later than that cover stops.  For each e the cut before
+    it moves left, the best cover to its right is kept at hand, and each term
+    that begins at the cut is tried with it; so a term is looked at once.
+    Of equal covers the one with the shorter prefix stays, then the one whose
+    last term begins first.
     """
-    terms = sparse_terms(text, longest)
-    best: list[tuple[int, int, list[Term]] | None] = [None] * (len(text) + 1)
-    best[0] = (0, 0, [])
-    for p in range(len(text)):
-        if best[p] is None:
-            continue
-        count, score, chain = best[p]
-        for t in terms:
-            if t.start > p:
-                break
-            if t.end > p:
-                candidate = (count + 1, score + len(t.term) * 1000 + t.weight)
-                held = best[t.end]
-                if held is None or candidate[0] < held[0] or candidate[0] == held[0] and candidate[1] > held[1]:
-                    best[t.end] = (*candidate, [*chain, t])
-    return best[len(text)][2] if best[len(text)] and text else []
+    n = len(text)
+    ending: list[dict[int, int]] = [{} for _ in range(n + 1)]
+    for s, e, weight in zip(*(v.tolist() for v in sparse_windows(codes_of(text), longest)), strict=True):
+        ending[e][s] = weight
+    # Of the best cover up to each place: (terms, minus score); and (prefix, start of the last term).
+    cost: list[tuple[int, int] | None] = [(0, 0), *[None] * n]
+    last: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+    for e in range(1, n + 1):
+        prefix, best = None, None
+        for cut in range(e - 1, max(e - longest, 0) - 1, -1):
+            if cost[cut] is not None and (prefix is None or cost[cut] <= cost[prefix]):
+                prefix = cut
+            if cut in ending[e] and prefix is not None:
+                terms, score = cost[prefix]
+                found = (terms + 1, score - (e - cut) * 1000 - ending[e][cut], prefix, cut)
+                best = found if best is None else min(best, found)
+        if best is not None:
+            cost[e], last[e] = best[:2], best[2:]
+    cover, at = [], n
+    while at and cost[n] is not None:
+        prefix, start = last[at]
+        cover.append(Term(text[start:at], start, at, ending[at][start]))
+        at = prefix
+    return cover[::-1]
 
 
 def term_hashes(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,16 @@
-"""Which search to run first for an objective in words."""
+"""Which search to run first for an objective in words.
+
+Two ordered tables decide: ``INTENTS`` names what is wanted, ``SOURCES`` says
+where the needle or pattern of the first search comes from, and why.  The first
+row whose value is there holds.
+"""
 
 from __future__ import annotations
 
-import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from textsieve.plans.query_plan import explain
 
@@ -20,6 +26,71 @@ STOP_WORDS = frozenset("find where this that with from into repo code search reg
 ENSURE, LITERAL, REGEX, EXPLAIN = "index.ensure", "search.literal", "search.regex", "query.explain"
 
 
+def quoted_values(objective: str) -> list[str]:
+    """What stands in quotes, without blanks and repetitions."""
+    inside = (next(filter(None, m.groups())) for m in QUOTED.finditer(objective))
+    return list(dict.fromkeys(x for x in inside if not x.isspace()))
+
+
+def identifiers(objective: str) -> list[str]:
+    """Words that look like names in code: with a capital, an underscore or punctuation inside."""
+    words = dict.fromkeys(IDENTIFIER.findall(objective))
+    return [w for w in words if w.lower() not in STOP_WORDS and (w != w.lower() or set(w) & set("_./:-"))]
+
+
+def regex_like(value: str | None) -> bool:
+    return bool(value) and REGEX_LIKE.search(value) is not None
+
+
+@dataclass
+class Clues:
+    """What the caller gave, and what the words of the objective say."""
+
+    objective: str
+    pattern: str | None = None
+    exact: str | None = None
+
+    @cached_property
+    def quoted(self) -> list[str]:
+        return quoted_values(self.objective)
+
+    @cached_property
+    def named(self) -> str | None:
+        """The first quoted string that is no pattern, else the longest identifier."""
+        plain = (v for v in self.quoted if not regex_like(v))
+        return next(plain, None) or max(identifiers(self.objective), key=len, default=None)
+
+    @cached_property
+    def suspected(self) -> str | None:
+        """The first quoted pattern; if the words speak of patterns, whatever is named first."""
+        hinted = [*self.quoted, *identifiers(self.objective)] if self.hints(REGEX_HINT) else []
+        return next((v for v in [*filter(regex_like, self.quoted), *hinted]), None)
+
+    @cached_property
+    def first_word(self) -> str:
+        words = (w for w in self.objective.split() if w.lower() not in STOP_WORDS)
+        return next(words, self.objective.strip())
+
+    def hints(self, words: re.Pattern) -> bool:
+        return words.search(self.objective) is not None
+
+
+INTENTS: tuple[tuple[str, Callable[[Clues], object]], ...] = (
+    ("exact-string", lambda c: c.exact or (c.pattern and not regex_like(c.pattern))),
+    ("regex", lambda c: c.pattern or c.hints(REGEX_HINT)),
+    ("exact-string", lambda c: c.named or c.hints(EXACT_HINT)),
+    ("unknown", lambda c: True),
+)
+SOURCES: tuple[tuple[str, Callable[[Clues], str | None], str], ...] = (
+    (LITERAL, lambda c: c.exact, "The exact string is given: {}."),
+    (LITERAL, lambda c: None if regex_like(c.pattern) else c.pattern, "The pattern has no operators, so it is searched as the string {}."),
+    (LITERAL, lambda c: c.named, "The objective names {}."),
+    (REGEX, lambda c: c.pattern, "The pattern {} is given."),
+    (REGEX, lambda c: c.suspected, "The objective quotes the pattern {}."),
+    (LITERAL, lambda c: c.first_word, "Nothing is named; the first telling word, {}, is tried."),
+)
+
+
 @dataclass
 class SearchPlan:
     must_ensure_index: bool
@@ -36,86 +107,38 @@ class SearchPlan:
         return self.sequence[0]
 
 
-def quoted_values(objective: str) -> list[str]:
-    return list(dict.fromkeys(v for m in QUOTED.finditer(objective) if (v := m[1] or m[2] or m[3]).strip()))
-
-
-def identifiers(objective: str) -> list[str]:
-    found = (m[0] for m in IDENTIFIER.finditer(objective))
-    return list(dict.fromkeys(v for v in found if v.lower() not in STOP_WORDS and re.search(r"[A-Z_./:-]", v)))
-
-
-def regex_like(value: str) -> bool:
-    return REGEX_LIKE.search(value) is not None
-
-
-def exact_candidate(objective: str) -> str | None:
-    """The first quoted value that is no pattern, else the longest identifier."""
-    plain = [v for v in quoted_values(objective) if not regex_like(v)]
-    return plain[0] if plain else max((v for v in identifiers(objective) if not regex_like(v)), key=len, default=None)
-
-
-def regex_candidate(objective: str) -> str | None:
-    quoted = quoted_values(objective)
-    for value in quoted:
-        if regex_like(value):
-            return value
-    return next(iter([*quoted, *identifiers(objective)]), None) if REGEX_HINT.search(objective) else None
-
-
-def resolve_intent(objective: str, pattern: str | None, exact: str | None) -> str:
-    if exact:
-        return "exact-string"
-    if pattern:
-        return "regex" if regex_like(pattern) else "exact-string"
-    if REGEX_HINT.search(objective):
-        return "regex"
-    return "exact-string" if EXACT_HINT.search(objective) or exact_candidate(objective) else "unknown"
-
-
 def weak(pattern: str) -> bool:
-    """Whether a plan can hardly prune: a full scan, or no anchor of three characters."""
+    """Whether the index can hardly help: no anchor has three characters, or all documents are read anyway."""
     plan = explain(pattern)
-    return plan.requires_full_scan or all(len(a) < 3 for a in plan.extractable_anchors)
+    return plan.requires_full_scan or max(map(len, plan.extractable_anchors), default=0) < 3
 
 
 def advice(globs: list[str] | None) -> list[str]:
-    scope = [f"Start with the scope {', '.join(globs)}."] if globs else []
+    """What to do with this engine when the first search does not answer."""
+    scope = [f"Stay within {', '.join(globs)}; drop path_globs when nothing is found there."] if globs else []
     return [
         *scope,
-        "Narrow the pattern if the first search finds too much.",
-        "Give path globs to keep to the folders in question.",
-        "Search for a literal as soon as an exact string is known.",
-        "Inspect terms only to see why a search prunes badly.",
-        "Scan files without the index only when searches do not suffice.",
+        "result.stats() tells how many documents were candidates; explain(pattern).pruning tells why.",
+        "Count the rows of result.matches by path with max_results=None before reading them.",
+        "index.status() lists the paths that no longer are what was indexed.",
     ]
 
 
 def plan_search(objective: str, status: dict, pattern: str | None = None, exact: str | None = None, path_hints: list[str] | None = None) -> SearchPlan:
     """Recommend a sequence of operations; ``status`` is that of the index."""
-    stale = len(status["stale_paths"])
-    ensure = not status["ready"] or stale > 0
-    globs = list(dict.fromkeys(h for h in path_hints or [] if h.strip())) or None
-    intent = resolve_intent(objective, pattern, exact)
-    case = False if IGNORE_CASE_HINT.search(objective) else None
-    why = ["There is no index of this workspace yet."] if not status["ready"] else [f"The index is stale for {stale} paths."] if stale else []
-    steps = [ENSURE] if ensure else []
-    plan = SearchPlan(ensure, steps, intent, reasoning=why, fallback=advice(globs))
-    literal = exact or (pattern if pattern and not regex_like(pattern) else exact_candidate(objective))
-    if not literal and (found := pattern or regex_candidate(objective)):
-        first = weak(found) or intent == "unknown"
-        plan.sequence = [*steps, *([EXPLAIN] if first else []), REGEX]
-        plan.regex_args, plan.explain_args = {"pattern": found, "path_globs": globs}, {"pattern": found}
-        why.append("The pattern's anchors are weak: explain it first." if first else "The pattern has usable anchors.")
-        if globs:
-            why.append("Path hints scope the search.")
-        return plan
-    if literal:
-        why.append(f"{json.dumps(literal)} is known exactly.")
+    clues, stale = Clues(objective, pattern, exact), len(status["stale_paths"])
+    globs = [h for h in dict.fromkeys(path_hints or []) if h.strip()] or None
+    intent = next(name for name, holds in INTENTS if holds(clues))
+    tool, value, why = next((tool, value, why) for tool, find, why in SOURCES if (value := find(clues)) or find is SOURCES[-1][1])
+    plan = SearchPlan(not status["ready"] or stale > 0, [], intent, reasoning=[why.format(repr(value))], fallback=advice(globs))
+    if plan.must_ensure_index:
+        plan.reasoning.insert(0, f"{stale} paths changed since the index was built." if status["ready"] else "There is no index yet.")
+    checked = tool == REGEX and (intent == "unknown" or weak(value))
+    if checked:
+        plan.reasoning.append("The index may not narrow it down, so it is explained first.")
+    plan.sequence = [ENSURE] * plan.must_ensure_index + [EXPLAIN] * checked + [tool]
+    if tool == REGEX:
+        plan.regex_args, plan.explain_args = {"pattern": value, "path_globs": globs}, {"pattern": value}
     else:
-        words = objective.split()
-        literal = next((w for w in words if w.lower() not in STOP_WORDS), objective.strip())
-        why.append("Neither a string nor a pattern could be told; a narrow literal search comes first.")
-    plan.sequence = [*steps, LITERAL]
-    plan.literal_args = {"needle": literal, "path_globs": globs, "case_sensitive": case}
+        plan.literal_args = {"needle": value, "path_globs": globs, "case_sensitive": False if clues.hints(IGNORE_CASE_HINT) else None}
     return plan
