@@ -68,6 +68,18 @@ def test_odd_rows(spark):
     assert N.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_ids_with_several_texts_join_what_is_near_each(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK_DOCS", block)
+    rng = random.Random(8)
+    text = lambda: [f"w{rng.randrange(500)}" for _ in range(60)]
+    near = lambda t: [*t[:-1], "other"]
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(5, a), (5, b), (6, near(a)), (7, near(b)), (9, c), (8, c), (9, d), (4, near(d)), (10, b), (10, b), (11, text())]
+    got = {(r[0], r[2]) for r in N.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string"), 3, 85, 100).collect()}
+    assert got == {(5, 5), (6, 5), (7, 5), (10, 5), (9, 4), (8, 4), (4, 4), (11, 11)}
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(5)
     pool = np.sort(rng.integers(0, 2**63, 3000, dtype=np.uint64))

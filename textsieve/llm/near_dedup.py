@@ -111,8 +111,7 @@ def sketch(documents: DataFrame, k: int, bands: int) -> DataFrame:
                 at = offsets[lo : hi + 1]
                 values, bounds = K.shingle_sets(K.words_of(data[at[0] : at[-1]], at - at[0], K.NOT_SPACE), k)
                 regs = registers(values, bounds, m)
-                key_a = K.segment_reduce(np.add, values, bounds, np.uint64(0))
-                key_b = K.segment_reduce(np.add, K.mix64(values ^ np.uint64(0x5DEECE66D)), bounds, np.uint64(0))
+                key_a, key_b = _set_keys(values, bounds)
                 keys = np.zeros((hi - lo, bands), dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     for r in range(ROWS):
@@ -122,8 +121,8 @@ def sketch(documents: DataFrame, k: int, bands: int) -> DataFrame:
                     [
                         batch.column(0).slice(lo, hi - lo),
                         pa.array(np.diff(bounds).astype(np.int64)),
-                        pa.array(key_a.view(np.int64)),
-                        pa.array(key_b.view(np.int64)),
+                        pa.array(key_a),
+                        pa.array(key_b),
                         pa.array([row.tobytes() for row in regs], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64))),
                     ],
@@ -133,9 +132,18 @@ def sketch(documents: DataFrame, k: int, bands: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, regs binary, bands array<long>")
 
 
+def _set_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set."""
+    return K.segment_reduce(np.add, values, bounds, np.uint64(0)).view(np.int64), K.segment_reduce(np.add, K.mix64(values ^ np.uint64(0x5DEECE66D)), bounds, np.uint64(0)).view(np.int64)
+
+
 def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """Replace the column text by the set as binary: its hashes, ascending."""
+    """Replace the column text by the set as binary: its hashes, ascending.
+
+    Rows whose text is not that of key_a and key_b go: an id may have several texts.
+    """
     names = [c for c in rows.columns if c != "text"]
+    at_a, at_b = names.index("key_a"), names.index("key_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +151,10 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
             for lo, hi in K.slices(offsets):
                 at = offsets[lo : hi + 1]
                 values, bounds = K.shingle_sets(K.words_of(data[at[0] : at[-1]], at - at[0], K.NOT_SPACE), k)
-                sets = pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(names))), sets], names=[*names, "set"])
+                key_a, key_b = _set_keys(values, bounds)
+                own = np.flatnonzero((key_a == batch.column(at_a).to_numpy()[lo:hi]) & (key_b == batch.column(at_b).to_numpy()[lo:hi]))
+                sets = pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in own.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(own + lo)) for i in range(len(names))), sets], names=[*names, "set"])
 
     kinds = dict(rows.dtypes)
     return rows.select(*names, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", set binary")
@@ -215,7 +225,10 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, query: np.
 
 
 def _verify(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(cluster, a, b) links of rows (g long, cluster, node, query, regs, set), g being the block."""
+    """(cluster, a, b) links of rows (g long, cluster, node, query, regs, set, key_a, key_b), g being the block.
+
+    A set may come in both roles, and once for each row that has its text; it counts once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -223,8 +236,8 @@ def _verify(rows: DataFrame, num: int, den: int) -> DataFrame:
         def done() -> list[tuple[int, int, int]]:
             seen, own = set(), []
             for r in held:
-                if r[1] not in seen:
-                    seen.add(r[1])
+                if (key := (r[1], r[5], r[6])) not in seen:
+                    seen.add(key)
                     own.append(r)
             if len(own) < 2:
                 return []
@@ -250,7 +263,16 @@ def _verify(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     # Rows of a query document come before those of the same document in its other role.
     dealt = rows.repartition("g").sortWithinPartitions("g", "node", F.desc("query"))
-    return dealt.select("g", "cluster", "node", "query", "regs", "set").mapInArrow(run, "cluster long, a long, b long")
+    return dealt.select("g", "cluster", "node", "query", "regs", "set", "key_a", "key_b").mapInArrow(run, "cluster long, a long, b long")
+
+
+def _shared_ids(named: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links between the sets of one id, for ids that have several."""
+    key = ["key_a", "key_b", "n_shingles"]
+    own = F.struct(*key)
+    several = scratch.save(named.groupBy("doc_id").agg(F.min(own).alias("one"), F.max(own).alias("other")).where("one <> other").select("doc_id"), "several")
+    sets = named.select("doc_id", *key).join(several, "doc_id").join(reps.select(*key, "rep"), key)
+    return sets.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -260,7 +282,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     k-word shingles; component_id is the least doc_id reachable.  Reads the
     columns doc_id (long) and text only.  A null, empty or wordless text has an
     empty set and is linked with nothing; a null doc_id has a null component_id
-    and is kept; rows that share a doc_id are one node.  Ties do not arise: a
+    and is kept; rows that share a doc_id are one node, also if their texts
+    differ: what is near one of them is linked with all.  Ties do not arise: a
     component's least doc_id is its name.  An empty table gives no rows.
     """
     spark: SparkSession = documents.sparkSession
@@ -285,30 +308,32 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
         F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
     )
     shape = s.save(shape.select("cluster", (-F.col("hub")).alias("hub"), "blocks"), "shape")
-    placed = members.join(shape, "cluster").select(F.col("node").alias("doc_id"), "cluster", "regs", "blocks", (F.col("node") == F.col("hub")).alias("hub"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    # Joins by cluster are sort-merge joins straight from exchanges: Spark can split a large cluster's rows.
+    placed = members.join(shape.hint("merge"), "cluster").select(F.col("node").alias("doc_id"), "cluster", "regs", "key_a", "key_b", "blocks", (F.col("node") == F.col("hub")).alias("hub"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
     sets = s.save(_sets(documents.select("doc_id", "text").join(placed, "doc_id"), k).withColumnRenamed("doc_id", "node"), "sets")
-    s.drop("members", "shape")
+    s.drop("members")
     everywhere = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = sets.withColumn("at", F.explode(everywhere)).select(F.xxhash64("cluster", "at").alias("g"), "cluster", "node", F.lit(True).alias("query"), "regs", "set")
+    first = sets.withColumn("at", F.explode(everywhere)).select(F.xxhash64("cluster", "at").alias("g"), "cluster", "node", F.lit(True).alias("query"), "regs", "set", "key_a", "key_b")
     links = s.save(_verify(first, num, den), "links1")
 
     # Clusters of several blocks: what the hub left apart is held against all members.
-    large = sets.where("blocks > 1").select("cluster", "node", "block", "blocks")
+    large = shape.where("blocks > 1").select("cluster")
     if not large.isEmpty():
-        within = links.join(large.select("cluster").distinct(), "cluster", "left_semi")
+        within = links.join(large.hint("merge"), "cluster", "left_semi")
         parts = connected_components(within.select("a", "b"), s, "hub")
-        state = s.save(large.join(parts, "node", "left").select("cluster", "node", "block", "blocks", F.coalesce("component", "node").alias("part")), "state")
+        state = s.save(sets.where("blocks > 1").select("cluster", "node", "block", "blocks").distinct().join(parts, "node", "left").select("cluster", "node", "block", "blocks", F.coalesce("component", "node").alias("part")), "state")
         main = s.save(state.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "part"))["part"].alias("main")), "main")
-        rest = state.join(main, "cluster").where("part <> main")
+        rest = state.join(main.hint("merge"), "cluster").where("part <> main")
         blocks = s.save(rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("rest_blocks")), "rest")
-        rest = rest.join(blocks, "cluster").select("cluster", "node", F.pmod(F.xxhash64("node", F.lit(1)), "rest_blocks").cast("int").alias("rest_block"))
-        own = sets.select("cluster", "node", "block", "blocks", "regs", "set")
-        asked = own.join(rest, ["cluster", "node"]).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("cluster", "at", "rest_block").alias("g"), "cluster", "node", F.lit(True).alias("query"), "regs", "set")
-        held = own.join(blocks, "cluster").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1))).select(F.xxhash64("cluster", "block", "at").alias("g"), "cluster", "node", F.lit(False).alias("query"), "regs", "set")
+        rest = rest.join(blocks.hint("merge"), "cluster").select("cluster", "node", F.pmod(F.xxhash64("node", F.lit(1)), "rest_blocks").cast("int").alias("rest_block"))
+        own = sets.select("cluster", "node", "block", "blocks", "regs", "set", "key_a", "key_b")
+        asked = own.join(rest, ["cluster", "node"]).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("cluster", "at", "rest_block").alias("g"), "cluster", "node", F.lit(True).alias("query"), "regs", "set", "key_a", "key_b")
+        held = own.join(blocks.hint("merge"), "cluster").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1))).select(F.xxhash64("cluster", "block", "at").alias("g"), "cluster", "node", F.lit(False).alias("query"), "regs", "set", "key_a", "key_b")
         more = s.save(_verify(asked.union(held), num, den), "links2")
         links = links.union(more)
-    parts = s.save(connected_components(links.select("a", "b"), s, "link"), "parts")
-    s.drop("sets", "links1", "links2", "state", "main", "rest")
+    links = links.select("a", "b").union(_shared_ids(named, reps, s))
+    parts = s.save(connected_components(links, s, "link"), "parts")
+    s.drop("sets", "links1", "links2", "state", "main", "rest", "shape", "several")
     named_reps = reps.join(parts, F.col("rep") == F.col("node"), "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("found"))
     return (
         sketches.select("doc_id", "n_shingles", "key_a", "key_b")
