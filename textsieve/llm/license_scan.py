@@ -1,14 +1,15 @@
 """License scan by template-markup matching.
 
 A template is a license text or notice with regions marked as optional
-(``<<beginOptional>> ... <<endOptional>>``) or replaceable (``<<var;N>>``: up to
-N words of any kind).  It is compiled into an automaton over word hashes, and a
-text is accepted where the automaton runs from a start word to its end, so that
-all mandatory wording stands there exactly.  Independently of the templates the
-places of the base phrases are counted.
-
-All texts are cut into words at once with numpy; automata run only over the
-documents that hold a template's anchor, three mandatory words in a row.
+(``<<beginOptional>> ... <<endOptional>>``, which may nest) or replaceable
+(``<<var;N>>``: up to N words of any kind).  It is compiled into an automaton
+over word hashes, and a text is accepted where the automaton runs from a start
+word to its end, so that all mandatory wording stands there exactly.
+Independently of the templates the places of the base phrases are counted.
+
+All texts are cut into words at once with numpy; an automaton runs only around
+the places of its template's anchor, three mandatory words in a row: from as
+many words before as the template can have there, until no state is left.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ merchantability and fitness for a particular purpose are disclaimed"""
 _GNU = """is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software
 foundation either version {v} of the license or at your option any later version"""
 
+#: Attribution licenses and their names, and labels that name themselves in an identifier line.
+_CC = (("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nc", "attribution noncommercial"), ("by-nd", "attribution noderivatives"), ("by-nc-sa", "attribution noncommercial sharealike"), ("by-nc-nd", "attribution noncommercial noderivatives"))
+_SPDX = ("mit", "isc", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "mpl-2.0", "epl-2.0", "zlib", "unlicense", "cc0-1.0", "bsl-1.0")
+
 #: (label, template); wording of the public license texts, in lower case without punctuation.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software " + _WARRANTY),
@@ -58,6 +63,15 @@ TEMPLATES = (
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
     ("cc0-1.0", "to the extent possible under law <<var;20>> has waived all copyright and related or neighboring rights to <<var;30>>"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and <<beginOptional>>limitations under the license<<endOptional>>"),
+    ("agpl-3.0", "<<var;12>> " + _GNU.replace("gnu general", "gnu affero general").format(v="3")),
+    ("lgpl-2.1", "<<var;12>> " + _GNU.replace("gnu general", "gnu lesser general").format(v="2 1")),
+    ("lgpl-3.0", "<<var;12>> " + _GNU.replace("gnu general", "gnu lesser general").format(v="3")),
+    ("epl-2.0", "the accompanying materials are made available under the terms of the eclipse public license <<beginOptional>>v<<endOptional>> 2 0 which <<beginOptional>>is available at <<beginOptional>>https<<endOptional>> <<beginOptional>>http<<endOptional>> www eclipse org legal epl <<beginOptional>>v<<endOptional>> 2 0<<endOptional>> <<beginOptional>>accompanies this distribution<<endOptional>>"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the <<beginOptional>>authors<<endOptional>> <<beginOptional>>author<<endOptional>> be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    *((f"cc-{name}-4.0", f"this work is licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> creative commons {words} 4 0 <<beginOptional>>international <<beginOptional>>license<<endOptional>><<endOptional>>") for name, words in _CC),
+    *((label, f"spdx license identifier {label.replace('-', ' ').replace('.', ' ')} <<beginOptional>>only<<endOptional>> <<beginOptional>>or later<<endOptional>>") for label in _SPDX),
 )
 MARK = re.compile(r"<<(beginOptional|endOptional|var;\d+)>>")
 
@@ -70,31 +84,36 @@ class Automaton:
     words: list[int] = field(default_factory=list)  #: word that leads from state i to i + 1; 0: any word
     skips: dict[int, list[int]] = field(default_factory=dict)  #: states reached without a word
     anchor: tuple[int, ...] = ()
+    before: int = 0  #: most words from a match's start to the anchor
 
     @classmethod
     def compile(cls, label: str, template: str) -> Automaton:
-        """An automaton of a template; optional regions may not nest."""
-        out, opened, run = cls(label), None, []
-        parts = MARK.split(template)
-        for i, part in enumerate(parts):
+        """An automaton of a template; marks that do not pair, or that are not known, are an error."""
+        out, opened, run = cls(label), [], []
+        for i, part in enumerate(MARK.split(template)):
             if i % 2 == 0:
+                if "<<" in part or ">>" in part:
+                    raise ValueError(f"template {label} has an unknown mark: {part}")
                 for h in K.hash_words(part, K.ALNUM).tolist():
                     out.words.append(h)
-                    run = [] if opened is not None else [*run, h]
+                    run = [] if opened else [*run, h]
                     if len(run) >= 3 and not out.anchor:
-                        out.anchor = tuple(run[-3:])
+                        out.anchor, out.before = tuple(run[-3:]), len(out.words) - 3
+                continue
+            run = []
+            if part == "beginOptional":
+                opened.append(len(out.words))
+            elif part == "endOptional":
+                if not opened:
+                    raise ValueError(f"template {label} ends an optional region that has not begun")
+                out.skips.setdefault(opened.pop(), []).append(len(out.words))
             else:
-                run = []
-                if part == "beginOptional":
-                    opened = len(out.words)
-                elif part == "endOptional":
-                    out.skips.setdefault(opened, []).append(len(out.words))
-                    opened = None
-                else:
-                    start, n = len(out.words), int(part[4:])
-                    out.words += [0] * n
-                    for k in range(n):
-                        out.skips.setdefault(start + k, []).append(start + n)
+                start, n = len(out.words), int(part[4:])
+                out.words += [0] * n
+                for k in range(n):
+                    out.skips.setdefault(start + k, []).append(start + n)
+        if opened:
+            raise ValueError(f"template {label} has an optional region without an end")
         if not out.anchor:
             raise ValueError(f"template {label} has no three mandatory words in a row")
         return out
@@ -108,20 +127,22 @@ class Automaton:
                     todo.append(t)
         return states
 
-    def accepts(self, hashes: list[int]) -> bool:
-        """Whether the template stands anywhere in a text."""
+    def accepts(self, hashes: np.ndarray | list[int], anchors: np.ndarray | list[int] | None = None) -> bool:
+        """Whether the template stands anywhere in a text; anchors: places of the anchor, if they are known."""
+        hashes = np.asarray(hashes, dtype=np.uint64)
+        if anchors is None:
+            k = len(self.anchor)
+            anchors = [i for i in range(len(hashes) - k + 1) if tuple(hashes[i : i + k].tolist()) == self.anchor]
         end, start = len(self.words), self._closed({0})
-        if end in start:
-            return True
-        states: set[int] = set()
-        for h in hashes:
-            now = {s + 1 for s in states | start if self.words[s] in (0, h)}
-            if not now:
-                states = now
-                continue
-            states = self._closed(now)
-            if end in states:
-                return True
+        for at in anchors:
+            states: set[int] = set()
+            for i in range(max(0, int(at) - self.before), len(hashes)):
+                if i > at and not states:
+                    break
+                h = int(hashes[i])
+                states = self._closed({s + 1 for s in (states | start if i <= at else states) if s < end and self.words[s] in (0, h)})
+                if end in states:
+                    return True
         return False
 
 
@@ -171,15 +192,14 @@ def scan_licenses(documents: DataFrame, templates: tuple[tuple[str, str], ...] =
                         base_labels.setdefault(i, set()).add(label)
                 labels = {i: set(x) for i, x in base_labels.items()}
                 exact: set[int] = set()
-                lists: dict[int, list[int]] = {}
-                anchored: dict[tuple[int, ...], list[int]] = {}
+                anchored: dict[tuple[int, ...], list[tuple[int, np.ndarray]]] = {}
                 for a in automata:
                     if a.anchor not in anchored:
-                        anchored[a.anchor] = np.unique(words.doc[_places(h, words, np.array(a.anchor, dtype=np.uint64))]).tolist()
-                    for i in anchored[a.anchor]:
-                        if i not in lists:
-                            lists[i] = h[words.first[i] : words.first[i + 1]].tolist()
-                        if a.accepts(lists[i]):
+                        found = _places(h, words, np.array(a.anchor, dtype=np.uint64))
+                        own, cut = np.unique(words.doc[found], return_index=True)
+                        anchored[a.anchor] = list(zip(own.tolist(), np.split(found, cut[1:]), strict=True)) if len(own) else []
+                    for i, places in anchored[a.anchor]:
+                        if a.accepts(h[words.first[i] : words.first[i + 1]], places - words.first[i]):
                             labels.setdefault(i, set()).add(a.label)
                             exact.add(i)
                 none = counts == 0
