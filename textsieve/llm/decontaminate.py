@@ -16,6 +16,8 @@ matches however rich in numbers or names it is; with other values, an item is
 known by its other windows alone, and its coverage is counted over these.
 What stands before a window decides whether its first word opens a sentence or
 follows a number, so a name or unit there is also sent as the word it is.
+Items of fewer than LEAST words match where their words are a sentence of their
+own; within other sentences such runs of words say nothing.
 
 Documents send on only windows that a bit table of the benchmark's window
 hashes lets pass; the table has a fixed size, whatever the benchmark's size.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from textsieve.llm import kernels as K
 from textsieve.scratch import Scratch
 
-#: Words of a window; shorter items of at least LEAST words are one window.
+#: Words of a window; shorter items are one window, those of fewer than LEAST words a sentence.
 WINDOW, LEAST = 8, 5
 #: An alignment counts from this share of the item's windows, or this many of them.
 COVERAGE, ENOUGH = 0.5, 6
@@ -46,8 +48,8 @@ _FACTORS = np.random.default_rng(9151).integers(1, 2**63, WINDOW, dtype=np.uint6
 SCHEMA = "id long, at int, size int, hash long, slots array<long>, total int, light boolean"
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, raw hashes, canonical hashes, slot values): a slot value is 0 where a word stands for itself."""
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, raw hashes, canonical hashes, slot values, whether a word opens a sentence): a slot value is 0 where a word stands for itself."""
     digit = (data >= 48) & (data <= 57)
     point = np.zeros(len(data), dtype=bool)
     if len(data) > 2:
@@ -55,7 +57,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarra
     words = K.words_of(data, offsets, K.ALNUM, point)
     raw = words.hashes()
     if not len(raw):
-        return words, raw, raw, raw
+        return words, raw, raw, raw, np.zeros(0, dtype=bool)
     figures = np.concatenate([[0], np.cumsum(digit | point)])
     number = figures[words.end] - figures[words.start] == words.end - words.start
     stop = np.isin(data, np.frombuffer(b".?!:;\n\r\"", dtype=np.uint8)) & ~point
@@ -69,7 +71,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarra
     unit = follows & np.isin(raw, K.hash_words(" ".join(UNITS), K.ALNUM))
     form = raw.copy()
     form[name], form[unit], form[number] = _NAME, _UNIT, _NUMBER
-    return words, raw, form, np.where(name | unit | number, raw | np.uint64(1), np.uint64(0))
+    return words, raw, form, np.where(name | unit | number, raw | np.uint64(1), np.uint64(0)), opens
 
 
 def _sums(form: np.ndarray, size: int) -> np.ndarray:
@@ -82,14 +84,19 @@ def _sums(form: np.ndarray, size: int) -> np.ndarray:
     return sums
 
 
-def _windows(words: K.Words, raw: np.ndarray, form: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(words: K.Words, raw: np.ndarray, form: np.ndarray, slot: np.ndarray, opens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first words, hashes, light) of the windows within documents.
 
     A form is light if at least half of its words stand for themselves.  Light
     windows are sent in canonical form, those with slots also as raw words, and
     those whose first word is a name or a unit also with this word as it is.
+    Windows of fewer than LEAST words are sent as raw words if they are a sentence.
     """
     n = max(len(form) - size + 1, 0)
+    if size < LEAST:
+        ends = np.append(opens[1:], True)[size - 1 :]
+        at = np.flatnonzero((words.doc[:n] == words.doc[size - 1 : size - 1 + n]) & opens[:n] & ends[:n])
+        return at, K.mix64(_sums(raw, size)[at]), np.zeros(len(at), dtype=bool)
     plain = np.concatenate([[0], np.cumsum(slot == 0)])
     plain = plain[size : size + n] - plain[:n]
     own = words.doc[:n] == words.doc[size - 1 : size - 1 + n]
@@ -120,11 +127,11 @@ def windows(rows: DataFrame, sizes: list[int] | None, table: np.ndarray | None =
             ids = batch.column(0)
             for lo, hi in K.slices(offsets):
                 at = offsets[lo : hi + 1]
-                words, raw, form, slot = canonical(data[at[0] : at[-1]], at - at[0])
+                words, raw, form, slot, opens = canonical(data[at[0] : at[-1]], at - at[0])
                 counts = np.diff(words.first)
                 values = slot if sizes is None else raw | np.uint64(1)
-                for size in sizes or range(LEAST, WINDOW + 1):
-                    start, hashes, light = _windows(words, raw, form, slot, size)
+                for size in sizes or range(1, WINDOW + 1):
+                    start, hashes, light = _windows(words, raw, form, slot, opens, size)
                     if held is not None:
                         bit = hashes >> np.uint64(64 - TABLE_BITS)
                         hit = (held.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
@@ -169,8 +176,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     more, of those that hold at most half placeholders, which are all that can
     match with other values; exact: whether all slot values are equal, else the
     item stands there re-parameterised.  Alignments with inconsistent slots do not count.  Null
-    ids and null or empty texts match nothing, nor do items of fewer than LEAST
-    words; repeated rows give one pair; of equal alignments the exact one is
+    ids and null or empty texts match nothing; repeated rows give one pair; of equal alignments the exact one is
     reported.  An empty table gives no rows.  Other columns are not read.
     """
     spark: SparkSession = documents.sparkSession
