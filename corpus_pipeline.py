@@ -17,8 +17,8 @@ from textsieve.llm.near_dedup import near_duplicates
 from textsieve.llm.sharding import shard_documents
 from textsieve.scratch import Scratch
 
-#: A prediction of lower probability is rejected; four languages at random have 0.25.
-LEAST_SCORE = 0.3
+#: A document of at least WORDS words is in no learned language if a smaller share of them is known.
+LEAST_KNOWN, WORDS = 0.1, 10
 #: Share of the remaining tokens that the mix takes, each document at most once.
 MIX_SHARE = 0.8
 SHARDS = 24
@@ -31,9 +31,10 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language can't be told, go."""
+    """Documents without a letter go, and those in none of the learned languages."""
     found = identify(docs)
-    rejected = found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("_gone")).distinct()
+    foreign = (F.col("n_words") >= WORDS) & (F.col("known_words") < LEAST_KNOWN * F.col("n_words"))
+    rejected = found.where((F.col("lang_pred") == UNDETERMINED) | foreign).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_gone"]), "left_anti")
 
 

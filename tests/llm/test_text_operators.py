@@ -125,3 +125,213 @@ def test_labels_are_no_input_of_predictions(spark):
 def test_no_labels(spark):
     got = identify(spark.createDataFrame([(1, "abc", None, None)], SCHEMA)).collect()
     assert got[0]["lang_pred"] == "und" and identify(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def _random_template(rng, depth=0):
+    """(markup, a function that gives a random text of it)."""
+    parts = []
+    for _ in range(rng.randint(1, 3)):
+        kind = rng.random()
+        if kind < 0.5 or depth > 2:
+            words = [rng.choice("abc") for _ in range(rng.randint(1, 2))]
+            parts.append((" ".join(words), lambda w=words: list(w)))
+        elif kind < 0.8:
+            markup, inner = _random_template(rng, depth + 1)
+            parts.append((f"<<beginOptional>>{markup}<<endOptional>>", lambda f=inner: f() if rng.random() < 0.5 else []))
+        else:
+            n = rng.randint(0, 2)
+            parts.append((f"<<var;{n}>>", lambda n=n: [rng.choice("abcz") for _ in range(rng.randint(0, n))]))
+    return " ".join(p for p, _ in parts), lambda: [w for _, f in parts for w in f()]
+
+
+def _brute(markup, words):
+    """Whether the template stands in the words: sets of end places, by the structure of the markup."""
+    tokens = re.findall(r"<<(?:beginOptional|endOptional|var;\d+)>>|\w+", markup)
+
+    def run(at, starts):
+        """End places after the tokens from ``at`` to the end of this region."""
+        while at < len(tokens) and tokens[at] != "<<endOptional>>":
+            if tokens[at] == "<<beginOptional>>":
+                inner, at = run(at + 1, set(starts))
+                starts = starts | inner
+            elif tokens[at].startswith("<<var"):
+                n = int(tokens[at][6:-2])
+                starts = {s + k for s in starts for k in range(n + 1) if s + k <= len(words)}
+            else:
+                starts = {s + 1 for s in starts if s < len(words) and words[s] == tokens[at]}
+            at += 1
+        return starts, at
+
+    return any(run(0, {i})[0] for i in range(len(words) + 1))
+
+
+def test_automata_equal_brute_force():
+    rng, accepted = random.Random(9), 0
+    for _ in range(300):
+        markup, text = _random_template(rng)
+        markup = f"{markup} q r s"
+        tail = "q r s".split()
+        automaton = Automaton.compile("x", markup)
+        for _ in range(6):
+            own = [*text(), *tail]
+            if rng.random() < 0.5 and own:
+                own[rng.randrange(len(own))] = rng.choice("abcqz")
+            words = [rng.choice("abcq") for _ in range(rng.randint(0, 4))] + own + [rng.choice("abs") for _ in range(2)]
+            got = automaton.accepts(K.hash_words(" ".join(words), K.ALNUM))
+            assert got == _brute(markup, words), (markup, words)
+            accepted += got
+    assert accepted > 500
+
+
+@pytest.mark.parametrize("bad", ["a b c <<beginOptional>> d", "a b c <<endOptional>>", "a b c <<beginOptional>>d<<endOptional>><<endOptional>>", "a b c <<oops>> d"])
+def test_unbalanced_marks_are_refused(bad):
+    with pytest.raises(ValueError, match="template x"):
+        Automaton.compile("x", bad)
+
+
+def test_nested_optional_regions():
+    a = Automaton.compile("x", "a b c <<beginOptional>>d <<beginOptional>>e<<endOptional>> f<<endOptional>> g")
+    accepts = lambda t: a.accepts(K.hash_words(t, K.ALNUM))
+    assert accepts("a b c g") and accepts("a b c d f g") and accepts("x a b c d e f g y") and not accepts("a b c e g") and not accepts("a b c d e g")
+
+
+def test_many_anchors_in_a_very_long_text(spark):
+    text = "permission to use copy modify " * 60_000 + "released under the MIT License"
+    (row,) = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["labels"] == "mit" and row["score"] == 1.0 and row["n_words"] == 300_005
+
+
+def brute_languages(rows):
+    """Word-first backoff on dictionaries: (best language, its log score minus the next) of each text."""
+    import math
+
+    find = re.compile("[a-z\x80-\U0010ffff]+")
+    cut = lambda t: find.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    langs = sorted({x for i, t, x, _ in rows if x and t is not None and i is not None and zlib.crc32(str(i).encode()) % 5})
+    counts = {o: {} for o in range(6)}
+    for i, t, lang, _ in rows:
+        if lang and t is not None and i is not None and zlib.crc32(str(i).encode()) % 5:
+            for w in cut(t):
+                for o in range(6):
+                    for g in [w] if o == 0 else [w[j : j + o] for j in range(len(w) - o + 1)]:
+                        own = counts[o].setdefault(g, dict.fromkeys(langs, 0))
+                        own[lang] += 1
+    totals = {o: {x: max(1, sum(g[x] for g in counts[o].values())) for x in langs} for o in counts}
+    log = lambda o, g, x: math.log(counts[o][g][x] + 0.5) - math.log(totals[o][x] + 0.5 * (len(counts[o]) + 1))
+    out = []
+    for _, t, *_ in rows:
+        score, known = dict.fromkeys(langs, 0.0), 0
+        for w in cut(t):
+            known += w in counts[0]
+            for o in (0, 5, 4, 3, 2, 1):
+                grams = [g for g in ([w] if o == 0 else [w[j : j + o] for j in range(len(w) - o + 1)]) if g in counts[o]]
+                if grams:
+                    for x in langs:
+                        score[x] += sum(log(o, g, x) for g in grams) / len(grams)
+                    break
+        out.append((score, len(cut(t)), known))
+    return langs, out
+
+
+def test_languages_equal_brute_force(spark):
+    import math
+
+    rng = random.Random(12)
+    rows = language_rows(120)
+    rows += [(2000 + i, " ".join("".join(rng.choice("thenderléß") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 12))), None, "s") for i in range(60)]
+    rows += [(3000, "the", "en", "s"), (3001, "rareonce seen", "fr", "s"), (3002, "rareonce", None, "s")]
+    langs, want = brute_languages(rows)
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for (i, *_), (score, n, known) in zip(rows, want, strict=True):
+        best = max(langs, key=lambda x: score[x])
+        r = got[i]
+        assert (r["n_words"], r["known_words"]) == (n, known)
+        chance = 1 / sum(math.exp((score[x] - score[best]) * min(n, 20) / n) for x in langs)
+        assert r["lang_pred"] == best or score[best] - score[r["lang_pred"]] < 1e-3
+        assert abs(r["score"] - chance) < 1e-3
+    assert got[3002]["known_words"] == 1  # a word that was learned once is no unseen one
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    from textsieve.llm import language_id
+
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 40)
+    rows = [(i, "the water of the house and thing", "en", "s") for i in range(2000)] + [(5000 + i, "vesi ja talo on suuri", "fi", "s") for i in range(12)]
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == "fi" for i in range(5000, 5012)) and all(got[i] == "en" for i in range(100))
+
+
+UNITS = {"miles", "hours", "kg"}
+
+
+def brute_leaks(text, item):
+    """(coverage, exact) of the best consistent alignment of an item in a text, by plain windows."""
+
+    def forms(t):
+        out, before = [], 0
+        for m in re.finditer(r"[A-Za-z0-9]+(?:[.,](?<=\d.)(?=\d)[A-Za-z0-9]+)*", t):
+            w, opens = m[0], not out or any(c in ".?!:;\n\r\"" for c in t[before : m.start()])
+            number = re.fullmatch(r"[0-9.,]+", w) is not None
+            name = w[0].isupper() and not opens and not number and len(w) > 1
+            unit = not opens and w.lower() in UNITS and bool(out) and out[-1][1] == "#"
+            out.append((w.lower(), "@" if name else "%" if unit else "#" if number else w.lower()))
+            before = m.end()
+        return out
+
+    def hashes(f, at, size):
+        own = f[at : at + size]
+        raw, form = tuple(r for r, _ in own), tuple(x for _, x in own)
+        slots = sum(x in "@%#" for x in form)
+        found = set()
+        if 2 * (size - slots) >= size:
+            found.add(form)
+        if slots:
+            found.add(raw)
+        if form[0] in ("@", "%") and 2 * (size - slots + 1) >= size and slots > 1:
+            found.add((raw[0], *form[1:]))
+        return found | ({form} if not slots else set())
+
+    d, q = forms(text), forms(item)
+    size = min(8, len(q))
+    best = None
+    light = [j for j in range(len(q) - size + 1) if any(any(x in "@%#" for x in h) or h == tuple(x for _, x in q[j : j + size]) for h in hashes(q, j, size)) and (2 * sum(x not in "@%#" for _, x in q[j : j + size]) >= size or q[j][1] in ("@", "%") and 2 * (sum(x not in "@%#" for _, x in q[j : j + size]) + 1) >= size)]
+    for shift in range(-len(q), len(d)):
+        hit = [j for j in range(len(q) - size + 1) if 0 <= j + shift <= len(d) - size and hashes(q, j, size) & hashes(d, j + shift, size)]
+        if not hit:
+            continue
+        pairs = {(q[j + k][0], d[j + shift + k][0]) for j in hit for k in range(size) if q[j + k][1] in ("@", "%", "#")}
+        if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+            continue
+        coverage = max(len(hit) / (len(q) - size + 1), len(set(hit) & set(light)) / len(light) if light else 0)
+        if coverage >= 0.5 or len(hit) >= 6:
+            best = max(best or (0, False), (coverage, all(a == b for a, b in pairs)))
+    return best
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(21)
+    plain = "when does the train stop near old town with all of its goods and people on board".split()
+    value = {"#": lambda: str(rng.randint(2, 99)), "@": lambda: rng.choice(["Boston", "Denver", "Albany", "Tulsa", "Reno"]), "%": lambda: rng.choice(sorted(UNITS))}
+    templates = []
+    for _ in range(12):
+        kinds = [rng.choice(["w", "w", "w", "#", "@"]) for _ in range(rng.randint(5, 16))]
+        templates.append([rng.choice(plain) if k == "w" else k for k in kinds])
+    fill = lambda t: " ".join(value[w]() if w in value else w for w in t)
+    items = [(i, fill(t)) for i, t in enumerate(templates)]
+    texts = []
+    for _ in range(120):
+        i, t = rng.choice(list(enumerate(templates)))
+        own = items[i][1] if rng.random() < 0.4 else fill(t)
+        if rng.random() < 0.3:
+            own = own.replace(rng.choice(plain), rng.choice(plain))
+        texts.append(f"{rng.choice(['so', 'as we know', 'Look.', ''])} {own} {rng.choice(['now', '.', 'and more'])}".strip())
+    got = {k: (r["coverage"], r["exact"]) for k, r in leaks(spark, texts, items).items()}
+    want = {(n, i): found for n, t in enumerate(texts) for i, q in items if (found := brute_leaks(t, q))}
+    assert set(got) == set(want) and len(want) > 60
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+
+
+def test_short_items_are_sentences(spark):
+    texts = ["Well. Who are you? I asked", "tell me who are you now", "who are you", "WHO ARE YOU", "Paris!"]
+    got = leaks(spark, texts, [(1, "Who are you?"), (2, "Paris"), (3, "")])
+    assert set(got) == {(0, 1), (2, 1), (3, 1), (4, 2)}

@@ -5,9 +5,11 @@ language.  An unseen word falls back to its character n-grams: of the longest
 order of which it has a known n-gram the mean log frequency is taken, from
 ORDERS[0] down to single characters.  A text's score is the sum over its words.
 
-Frequencies come from labelled documents only; the bounds of the training
-sample and of the tables are the parameters below, so that the model's size
-does not follow the corpus.
+Frequencies come from labelled documents only, from a bounded sample of each
+language, so that rare languages are learned as well as frequent ones and the
+model's size does not follow the corpus.  Every word and n-gram of the sample
+is in the model; it holds an entry for a language only where that has it, and
+all languages are smoothed alike.
 """
 
 from __future__ import annotations
@@ -23,12 +25,10 @@ from pyspark.sql import functions as F
 from textsieve.llm import kernels as K
 from textsieve.scratch import Scratch
 
-#: Labelled documents that are fitted on, at most (about, chosen by hash).
-TRAIN_DOCS = 20_000
+#: Labelled documents of each language that are fitted on, at most (about, chosen by hash).
+TRAIN_DOCS = 5_000
 #: Character n-grams, longest first; 0 stands for whole words.
 ORDERS = (5, 4, 3, 2, 1)
-#: Entries kept of each order, the most frequent ones, and times languages at most.
-TABLE_ROWS, TABLE_CELLS = 100_000, 20_000_000
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 #: A mean that stands for at most so many words when scores become a probability.
@@ -51,11 +51,18 @@ def _grams(words: K.Words, which: np.ndarray, order: int) -> tuple[np.ndarray, n
 
 @dataclass
 class Model:
-    """Per order (0: words): ascending hashes and log frequencies, entries x languages."""
+    """Per order (0: words): ascending hashes, the entries of each, and what an unseen language has.
+
+    The entries of hash i are those from first[i] to first[i + 1]: a language
+    and how much its log frequency exceeds that of a language without entry.
+    """
 
     languages: list[str]
     keys: dict[int, np.ndarray]
-    logs: dict[int, np.ndarray]
+    first: dict[int, np.ndarray]
+    lang: dict[int, np.ndarray]
+    more: dict[int, np.ndarray]
+    least: dict[int, np.ndarray]  #: log frequency without entry, of each language
 
     def look(self, order: int, hashes: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 where it is unknown."""
@@ -65,15 +72,22 @@ class Model:
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         return np.where(keys[at] == hashes, at, -1)
 
-    def scores(self, words: K.Words) -> np.ndarray:
-        """Summed log frequencies, documents x languages."""
+    def sums(self, order: int, row: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+        """Summed log frequencies of known entries, owners x languages."""
+        size = len(self.languages)
+        counts = self.first[order][row + 1] - self.first[order][row]
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[order][row], counts)
+        cell = np.repeat(owner, counts) * size + self.lang[order][at]
+        out = np.bincount(cell, weights=self.more[order][at], minlength=owners * size).reshape(owners, size)
+        return out + np.bincount(owner, minlength=owners)[:, None] * self.least[order][None, :]
+
+    def scores(self, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Summed log frequencies, documents x languages, and the number of known words of each document."""
         docs, size = len(words.first) - 1, len(self.languages)
-        total = np.zeros((docs, size))
         h = words.hashes()
         row = self.look(0, h)
         known = row >= 0
-        for j in range(size):
-            total[:, j] += np.bincount(words.doc[known], weights=self.logs[0][row[known], j], minlength=docs)
+        total = self.sums(0, row[known], words.doc[known], docs)
         unseen = np.flatnonzero(~known)
         if len(unseen):
             _, one, back = np.unique(h[unseen], return_index=True, return_inverse=True)
@@ -88,24 +102,21 @@ class Model:
                 hit = row >= 0
                 n = np.bincount(owner[hit], minlength=len(left))
                 has = n > 0
-                for j in range(size):
-                    sums = np.bincount(owner[hit], weights=self.logs[order][row[hit], j], minlength=len(left))
-                    own[left[has], j] = sums[has] / n[has]
+                own[left[has]] = self.sums(order, row[hit], owner[hit], len(left))[has] / n[has, None]
                 left = left[~has]
             for j in range(size):
                 total[:, j] += np.bincount(words.doc[unseen], weights=own[back, j], minlength=docs)
-        return total
+        return total, np.bincount(words.doc[known], minlength=docs)
 
 
 def train(documents: DataFrame, scratch: Scratch) -> Model:
-    """Fit on rows (text, lang, key): at most about TRAIN_DOCS, those of least hash of key."""
-    n = documents.count()
-    languages = sorted(r[0] for r in documents.select("lang").distinct().collect())  # languages are few
-    empty = np.zeros(0, dtype=np.uint64)
+    """Fit on rows (text, lang, key): of each language about TRAIN_DOCS at most, those of least hash of key."""
+    counts = {r["lang"]: r["n"] for r in documents.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # languages are few
+    languages = sorted(counts)
     if not languages:
-        return Model([], {o: empty for o in (0, *ORDERS)}, {o: np.zeros((0, 0)) for o in (0, *ORDERS)})
-    share = min(1.0, TRAIN_DOCS / n)
-    sample = documents.where(F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1_000_000)) < round(1_000_000 * share))
+        return Model([], {}, {}, {}, {}, {})
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, round(1_000_000 * min(1.0, TRAIN_DOCS / counts[lang])))])
+    sample = documents.where(F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1_000_000)) < share[F.col("lang")])
     code = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,23 +141,22 @@ def train(documents: DataFrame, scratch: Scratch) -> Model:
                         size = len(keys)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(size, order, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(size, j, dtype=np.int32)), pa.array(counts)], names=["order", "hash", "lang", "n"])
 
-    counted = scratch.save(sample.select("text", "lang").mapInArrow(run, "order int, hash long, lang int, n long").groupBy("order", "hash", "lang").agg(F.sum("n").alias("n")), "counts")
-    totals = {(r["order"], r["lang"]): r["n"] for r in counted.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect()}
-    rows = min(TABLE_ROWS, TABLE_CELLS // len(languages))
-    keys, logs = {}, {}
-    sums = scratch.save(counted.groupBy("order", "hash").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where("all >= 2"), "sums")
-    for order in (0, *ORDERS):
-        top = sums.where(f"order = {order}").orderBy(F.desc("all"), "hash").limit(rows).select("hash", "by").collect()  # at most TABLE_ROWS
-        held = np.zeros((len(top), len(languages)))
-        for i, r in enumerate(top):
-            for j, n in r["by"].items():
-                held[i, j] = n
-        key = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
-        by = np.argsort(key)
-        total = np.array([totals.get((order, j), 0) for j in range(len(languages))], dtype=np.float64)
-        keys[order], logs[order] = key[by], (np.log(held + SMOOTHING) - np.log(total + SMOOTHING * (len(top) + 1)))[by]
-    scratch.drop("counts", "sums")
-    return Model(languages, keys, logs)
+    # The bounded sample's distinct words and n-grams: one row for each of them and language.
+    counted = sample.select("text", "lang").mapInArrow(run, "order int, hash long, lang int, n long").groupBy("order", "hash", "lang").agg(F.sum("n").alias("n"))
+    table = scratch.save(counted, "counts").toArrow()
+    scratch.drop("counts")
+    order, key, lang, n = (table.column(c).to_numpy() for c in ("order", "hash", "lang", "n"))
+    model = Model(languages, {}, {}, {}, {}, {})
+    for o in (0, *ORDERS):
+        own = np.flatnonzero(order == o)
+        own = own[np.lexsort((lang[own], key[own].view(np.uint64)))]
+        model.keys[o], first = np.unique(key[own].view(np.uint64), return_index=True)
+        model.first[o] = np.append(first, len(own)).astype(np.int64)
+        model.lang[o], held = lang[own].astype(np.int64), n[own].astype(np.float64)
+        model.more[o] = (np.log(held + SMOOTHING) - np.log(SMOOTHING)).astype(np.float32)
+        totals = np.bincount(model.lang[o], weights=held, minlength=len(languages))
+        model.least[o] = np.log(SMOOTHING) - np.log(np.maximum(totals, 1) + SMOOTHING * (len(model.keys[o]) + 1))
+    return model
 
 
 def _has_letter(text: bytes) -> bool:
@@ -154,9 +164,9 @@ def _has_letter(text: bytes) -> bool:
 
 
 def predict(documents: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` with lang_pred and score, a row for each row (text and carry).
+    """The columns ``carry`` with lang_pred, score, n_words and known_words, a row for each row (text and carry).
 
-    A null text, or one without any letter, is ``und`` with score 0.  Equal
+    known_words of the n_words (runs of letters) are in the model.  A null text, or one without any letter, is ``und`` with score 0.  Equal
     scores go to the language that sorts first; a model without languages
     gives ``und``.
     """
@@ -172,7 +182,7 @@ def predict(documents: DataFrame, model: Model, carry: list[str]) -> DataFrame:
                 at = offsets[lo : hi + 1]
                 words = K.words_of(data[at[0] : at[-1]], at - at[0], LETTERS)
                 n = np.diff(words.first)
-                names, best = [UNDETERMINED] * (hi - lo), np.zeros(hi - lo)
+                names, best, known = [UNDETERMINED] * (hi - lo), np.zeros(hi - lo), np.zeros(hi - lo, dtype=np.int64)
                 if model.languages:
                     plain = np.zeros(len(words.data) + 1, dtype=np.int64)
                     np.cumsum((words.data >= 97) & (words.data <= 122), out=plain[1:])
@@ -180,20 +190,20 @@ def predict(documents: DataFrame, model: Model, carry: list[str]) -> DataFrame:
                     lettered = plain[bounds[1:]] > plain[bounds[:-1]]
                     for i in np.flatnonzero(~lettered & (n > 0)):
                         lettered[i] = _has_letter(words.data[bounds[i] : bounds[i + 1]].tobytes())
-                    scores = model.scores(words)
+                    scores, known = model.scores(words)
                     scaled = scores * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
                     chance = np.exp(scaled - scaled.max(1, keepdims=True))
                     chance /= chance.sum(1, keepdims=True)
                     top = scores.argmax(1)
                     best = np.where(lettered, chance[np.arange(hi - lo), top], 0.0)
                     names = [model.languages[j] if ok else UNDETERMINED for j, ok in zip(top.tolist(), lettered.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(carry))), pa.array(names, pa.string()), pa.array(best)], names=[*carry, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(carry))), pa.array(names, pa.string()), pa.array(best), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64))], names=[*carry, "lang_pred", "score", "n_words", "known_words"])
 
-    return documents.select(*carry, F.col("text").cast("string")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double")
+    return documents.select(*carry, F.col("text").cast("string")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double, n_words long, known_words long")
 
 
 def identify(documents: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): one row per row of ``documents``.
+    """(doc_id, held_out, lang_pred, score, n_words, known_words): one row per row of ``documents``.
 
     held_out: crc32 of doc_id as text is a multiple of 5; such rows, and rows
     with a null text, lang or doc_id, are not learned from.  A null doc_id is
