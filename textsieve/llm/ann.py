@@ -26,13 +26,14 @@ from textsieve.llm import kernels as K
 from textsieve.scratch import Scratch
 
 #: Rows of the sample (chosen by hash, about so many) and sample rows of a part.
-SAMPLE, PART = 8192, 256
+SAMPLE, PART = 8192, 128
 #: Links of each sample vector, room of a part above the mean, share of neighbours to find.
 LINKS, SLACK, AIM = 16, 1.1, 0.97
 #: Rows that the driver compares with the sample at once.
 ROWS_AT_ONCE = 128
-#: Most vectors of a part, and most queries, that are compared in one block.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+#: Most vectors of a part, and most queries, that meet in one task.  Queries pass through it in batches, so they are
+#: many: the rows of a part are sent once for each BLOCK_QUERIES of its queries.
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 1 << 16
 
 
 @dataclass

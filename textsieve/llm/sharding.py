@@ -21,6 +21,8 @@ from textsieve.llm.prefix import ranked
 from textsieve.scratch import Scratch
 
 MANTISSA = 12
+#: Most classes whose runs are broadcast (a run has an entry for each shard); beyond it the join shuffles.
+BROADCAST_CLASSES = 50_000
 #: Bytes that a document takes besides its text.
 OVERHEAD = 8
 
@@ -79,8 +81,9 @@ def shard_documents(documents: DataFrame, shards: int = 24) -> DataFrame:
             end += n
             ends.append(end)
         runs.append((name, ends, [i for i, _ in given]))
+    small = len(runs) <= BROADCAST_CLASSES
     runs = spark.createDataFrame(runs, "of long, ends array<long>, shards array<int>")
-    numbered = ranked(groups, ["class"], key, s, "numbered").join(F.broadcast(runs), F.col("class") == F.col("of"))
+    numbered = ranked(groups, ["class"], key, s, "numbered").join(F.broadcast(runs) if small else runs, F.col("class") == F.col("of"))
     shard = F.element_at("shards", F.size(F.filter("ends", lambda e: e <= F.col("rank"))) + 1)
     placed = s.save(numbered.select(*key, shard.alias("shard")), "placed")
     found = rows.join(placed, key)
