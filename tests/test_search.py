@@ -163,3 +163,129 @@ def test_plans_push_down_and_prune(spark, tmp_path):
     scan = plan_of(literal_matches(held, "foo", path_globs=["src/1*"]))
     assert "StringContains(content,foo)" in scan and "TakeOrderedAndProject" in scan and "unused" not in scan and "Python" not in scan
     assert "Python" not in plan_of(regex_matches(held, r"foo\s\w+"))
+
+
+def brute_matches(path, text, find, before, after):
+    """Places and context of matches, by plain string operations."""
+    import re
+
+    lines, out = re.split(r"\r?\n", text), []
+    place = lambda at: (text.count("\n", 0, at) + 1, at - (text.rfind("\n", 0, at) + 1) + 1)
+    for start, match in find(text):
+        (line, column), (end_line, end_column) = place(start), place(max(start, start + len(match) - 1))
+        out.append((path, start, line, column, end_line, end_column, match, lines[max(0, line - 1 - before) : line - 1], lines[line - 1], lines[end_line : end_line + after]))
+    return out
+
+
+def test_places_and_context_equal_brute_force(spark):
+    import random
+
+    import regex
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "b", "\n", "\r\n", "ab", "é", "😀", "\0", " "]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    docs = corpus(spark, *texts)
+    for pattern in ("a", "ab*", "b*", "a\\n?", "(?:a|b|\\n)+", "^|b", "\\0", "$"):
+        for before, after in ((1, 1), (0, 2), (3, 0)):
+            got = [tuple(r) for r in regex_matches(docs, pattern, max_results=None, before=before, after=after).collect()]
+            rule = regex.compile(pattern.replace("$", r"\Z").replace("\\0", "\0"))
+
+            def find(t, rule=rule):
+                at, out = 0, []
+                while at <= len(t) and (m := rule.search(t, at)):
+                    out.append((m.start(), m.group()))
+                    at = max(m.end(), m.start() + 1)
+                return out
+
+            want = [m for i, t in enumerate(texts) for m in brute_matches(f"d{i}", t, find, before, after)]
+            assert got == sorted(want, key=lambda m: (m[0], m[1])), pattern
+    for needle, fold in (("ab", False), ("a\n", False), ("AB", True), ("b", True)):
+        def find(t, n=needle, fold=fold):
+            at, out, searched, wanted = 0, [], t.lower() if fold else t, n.lower() if fold else n
+            while (at := searched.find(wanted, at)) >= 0:
+                out.append((at, t[at : at + len(wanted)]))
+                at += len(wanted)
+            return out
+
+        got = [tuple(r) for r in literal_matches(docs, needle, case_sensitive=not fold, max_results=None).collect()]
+        want = [m for i, t in enumerate(texts) for m in brute_matches(f"d{i}", t, find, 1, 1)]
+        assert got == sorted(want, key=lambda m: (m[0], m[1])), needle
+        limited = [tuple(r)[:2] for r in literal_matches(docs, needle, case_sensitive=not fold, max_results=7, context=False).collect()]
+        assert limited == [m[:2] for m in got[:7]]
+
+
+def test_empty_matches_beside_others(spark):
+    """As the successive matches of ECMAScript, in the JVM and in Python."""
+    for pattern, want in (("^|b", [(0, "")]), ("(?=b)|b", [(0, "")]), (r"(?:(x)|b)?\1|^", [(0, "b"), (1, "")])):
+        assert [(r["start"], r["match"]) for r in regex_matches(corpus(spark, "b"), pattern, context=False).collect()] == want
+
+
+def test_many_matches_in_one_text(spark):
+    n = 50_000
+    docs = corpus(spark, "ab\n" * n)
+    for found in (regex_matches(docs, "b", max_results=None, context=False), literal_matches(docs, "b", max_results=None, context=False), literal_matches(docs, "B", case_sensitive=False, max_results=None)):
+        row = found.selectExpr("count(*) as n", "sum(start) as s", "max(line) as l", "max(`column`) as c").first()
+        assert tuple(row) == (n, sum(3 * i + 1 for i in range(n)), n, 2)
+
+
+def test_repeated_paths_are_documents_of_their_own(spark):
+    docs = spark.createDataFrame([("p", "a b a"), ("p", "a b a"), ("p", "b a")], "path string, content string")
+    assert sorted(r["start"] for r in regex_matches(docs, "a", max_results=None).collect()) == [0, 0, 2, 4, 4]
+
+
+def test_texts_with_nul_are_searched(spark):
+    docs = corpus(spark, "x\0License", "\0")
+    assert [r["start"] for r in regex_matches(docs, "License").collect()] == [2] and literal_matches(docs, "License").count() == 1
+
+
+def test_table_index(spark, tmp_path):
+    from textsieve.operators.index import TableIndex
+
+    rows = [(i, f"p/{i}", f"text {i} {'needle' if i % 10 == 0 else 'hay'}", "extra") for i in range(100)]
+    base = spark.createDataFrame(rows, "doc_id long, path string, content string, layer2 string").drop("layer2")
+    index = TableIndex(spark, f"file://{tmp_path}", "t")
+    assert index.status() == {"ready": False, "workspace_id": index.workspace_id, "stale_paths": [], "file_count": 0, "overlay_file_count": 0}
+    with pytest.raises(SearchError, match="INDEX_NOT_READY"):
+        index.corpus()
+    made = index.ensure(base)
+    assert not made["reused"] and made["file_count"] == 100 and made["stored_bytes"] > 0
+    paths = lambda: sorted(r["path"] for r in literal_matches(index.literal_candidates("needle"), "needle", max_results=None).collect())
+    assert paths() == sorted(f"p/{i}" for i in range(0, 100, 10)) and index.literal_candidates("needle").count() < 50
+    now = base.where("doc_id > 10").selectExpr("doc_id", "path", "if(doc_id = 20, 'gone', content) as content").union(spark.createDataFrame([(500, "p/new", "a needle")], base.schema))
+    assert index.status(now)["stale_count"] == 13 and index.stale(now).where("change = 'deleted'").count() == 11
+    again = index.ensure(now)
+    assert again["reused"] and again["base_id"] == made["base_id"] and again["overlay_file_count"] == 2
+    assert paths() == ["p/30", "p/40", "p/50", "p/60", "p/70", "p/80", "p/90", "p/new"] and index.status(now)["stale_count"] == 0
+    revision = index.manifest()["overlay"]["revision"]
+    index.ensure(now)
+    assert index.manifest()["overlay"]["revision"] == revision
+    index.ensure(base)
+    assert len(paths()) == 10 and index.manifest()["overlay"]["revision"] == "overlay-empty"
+    index.ensure(now.where("false"))
+    assert paths() == [] and index.docs().count() == 0
+    assert index.ensure(now, force=True)["file_count"] == 90
+    assert index.clear("all")["cleared"] and not index.status()["ready"]
+
+
+def test_unchanged_files_are_not_read_again(spark, tmp_path, monkeypatch):
+    from textsieve.operators import index as module
+
+    write(tmp_path, a_dot_txt="needle\n")
+    engine = Engine(spark, str(tmp_path), str(tmp_path / "ix"))
+    engine.index.ensure()
+    engine.index.ensure()  # the ignore file is new
+    monkeypatch.setattr(module, "discover", None)
+    assert engine.index.ensure()["reused"] and engine.search_literal("needle").stats()["match_count"] == 1
+
+
+def test_store(spark, tmp_path):
+    from textsieve.sources.store import Store
+
+    for root in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        store = Store(spark, root)
+        assert store.read("x", "y.json") is None and store.size() == 0 and not store.exists("x")
+        store.write("é\n1", "x", "y.json")
+        store.write("é\n2", "x", "y.json")
+        assert store.read("x", "y.json") == "é\n2" and store.size() > 0
+        store.delete("x")
+        assert store.read("x", "y.json") is None

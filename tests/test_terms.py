@@ -78,3 +78,32 @@ def test_inspection(spark, tmp_path):
     for bad in ({}, {"text": "a", "path": "b"}, {"text": ""}):
         with pytest.raises(SearchError, match="INVALID_INPUT"):
             inspect_terms(spark, **bad)
+
+
+def test_posting_lists_hold_the_terms_of_each_document(spark, monkeypatch):
+    from textsieve.functions import grams
+
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("theano_AZ é") for _ in range(rng.randint(0, 80))) for _ in range(40)] + [None, "", "a"]
+    for chars in (1 << 20, 100, 7):  # texts are grouped, or one text is cut
+        monkeypatch.setattr(grams, "SLICE_CHARS", chars)
+        for i, t in enumerate(texts):
+            want = sorted({term_hash(x.term) for x in sparse_terms(t or "")})
+            assert grams._pairs([t or ""])[0].tolist() == want, (chars, i)
+        hashes, of = grams._pairs([t or "" for t in texts])
+        got = {(h, i) for h, i in zip(hashes.tolist(), of.tolist(), strict=True)}
+        assert len(got) == len(hashes) and got == {(term_hash(x.term), i) for i, t in enumerate(texts) for x in sparse_terms(t or "")}
+
+
+def test_posting_lists_of_a_table(spark):
+    from textsieve.functions.grams import hashed_term, term_postings, term_rows
+    from textsieve.operators.index import postings_of
+
+    docs = spark.createDataFrame([(5, "foo bar"), (6, "bar foo"), (7, None), (None, "foo"), (8, "xyz")], "doc_id long, content string")
+    lists = {}
+    for r in postings_of(docs).collect():
+        lists.setdefault(r["term_hash"], []).extend(r["docs"])
+    assert sorted(lists[term_hash("foo")]) == [5, 6] and lists[term_hash("xyz")] == [8]
+    terms = term_rows(docs).select("term").distinct().withColumn("h", hashed_term("term")).collect()
+    assert {r["h"] for r in terms} == set(lists) and all(r["h"] == term_hash(r["term"]) for r in terms)
+    assert term_postings(docs.limit(0)).count() == 0

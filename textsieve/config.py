@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-INDEX_VERSION = 1
+INDEX_VERSION = 2
 #: Results limit, context lines, longest term, sizes of expansions.
 MAX_RESULTS, CONTEXT_LINES = 100, 1
 MAX_TERM, MAX_CLASS, MAX_STRINGS, MAX_REPEAT = 24, 8, 8, 4

@@ -35,13 +35,13 @@ class Engine:
         if not needle:
             raise SearchError("INVALID_INPUT", "the needle is empty")
         self._ready(auto_ensure)
-        return search_literal(self.index.corpus(), needle, self.index.literal_candidates(needle, case_sensitive), case_sensitive=case_sensitive, **options)
+        return search_literal(self.index.literal_candidates(needle, case_sensitive), needle, case_sensitive=case_sensitive, **options)
 
     def search_regex(self, pattern: str, flags: str = "", include_plan: bool = False, auto_ensure: bool = True, **options) -> SearchResult:
         """Matches of an ECMAScript pattern; options: path_globs, max_results, before, after."""
         explain(pattern, flags)
         self._ready(auto_ensure)
-        return search_regex(self.index.corpus(), pattern, flags, self.index.regex_candidates(pattern, flags), include_plan, **options)
+        return search_regex(self.index.regex_candidates(pattern, flags), pattern, flags, include_plan=include_plan, **options)
 
     def explain(self, pattern: str, flags: str = "") -> QueryPlan:
         return explain(pattern, flags)
@@ -59,9 +59,9 @@ class Engine:
         return translate(pattern, flags)
 
     def manifest(self) -> DataFrame:
-        """The active manifest as one row, or none."""
+        """The active manifest as one row, or none; ``index.changes()`` has the paths of the overlay."""
         found = self.index.manifest()
-        schema = "base_id string, mode string, revision string, created_at string, file_count long, overlay_revision string, overlay_file_count long, deleted_paths array<string>, changed_paths array<string>"
+        schema = "base_id string, mode string, revision string, created_at string, file_count long, overlay_revision string, overlay_file_count long, deleted_paths long, changed_paths long"
         rows = [(found["base_id"], found["mode"], found["revision"], found["created_at"], found["file_count"], found["overlay"]["revision"], found["overlay"]["file_count"], found["overlay"]["deleted"], found["overlay"]["changed"])] if found else []
         return self.spark.createDataFrame(rows, schema)
 

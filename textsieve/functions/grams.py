@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from textsieve.session import share_package
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-#: Rows that are handed on at once.
-EMITTED = 1 << 20
+#: Characters whose terms are found and grouped at once.
+SLICE_CHARS = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -63,25 +64,34 @@ def term_hash(term: str) -> int:
     return int(window_hashes(codes, np.array([0]), np.array([len(codes)]))[0])
 
 
-def sparse_windows(codes: np.ndarray, longest: int = MAX_TERM, ordered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sparse_windows(codes: np.ndarray, longest: int = MAX_TERM, ordered: bool = True, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, weight) of all sparse n-grams of a text, by (start, end).
 
-    All windows of one length are tested at once; the greatest weight inside a
-    window grows by one pair with each length.
+    All windows of one length are tested at once.  The greatest weight inside a
+    window only grows with its length, so a start whose own pair no longer
+    exceeds it is left out of all longer windows; few starts live long.
+    owner: text of each character, if there are several; no window crosses them.
     """
     w = pair_weights(codes) if len(codes) > 1 else np.zeros(0, dtype=np.int64)
-    m = len(w)
+    at = np.arange(len(w))
+    inside = np.full(len(w), -1, dtype=np.int64)
     starts, ends, weights = [], [], []
-    inside = np.full(m, -1, dtype=np.int64)
-    for size in range(2, min(longest, m + 1) + 1):
-        n = m - size + 2
-        first, last = w[:n], w[size - 2 : size - 2 + n]
+    for size in range(2, longest + 1):
+        fits = at + size <= len(codes)
+        if owner is not None:
+            fits &= owner[at] == owner[np.minimum(at + size - 1, len(codes) - 1)]
+        at, inside = at[fits], inside[fits]
         if size > 3:
-            inside = np.maximum(inside[:n], w[size - 3 : size - 3 + n])
-        at = np.flatnonzero(np.minimum(first, last) > inside[:n])
-        starts.append(at)
-        ends.append(at + size)
-        weights.append(np.maximum(first[at], last[at]))
+            inside = np.maximum(inside, w[at + size - 3])
+            alive = w[at] > inside
+            at, inside = at[alive], inside[alive]
+        if not len(at):
+            break
+        last = w[at + size - 2]
+        hit = last > inside
+        starts.append(at[hit])
+        ends.append(at[hit] + size)
+        weights.append(np.maximum(w[at[hit]], last[hit]))
     if not starts:
         return (np.zeros(0, dtype=np.int64),) * 3
     s, e, x = np.concatenate(starts), np.concatenate(ends), np.concatenate(weights)
@@ -140,31 +150,88 @@ def covering_terms(text: str, longest: int = MAX_TERM) -> list[Term]:
     return cover[::-1]
 
 
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE_CHARS together, or of one text."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t) > SLICE_CHARS:
+            yield at, i
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the terms of some texts, each once per text, by hash and text."""
+    codes = codes_of("".join(texts))
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    found = []
+    for at in range(0, len(codes), SLICE_CHARS):  # a long text is cut; windows that begin in a piece may end after it
+        piece = slice(at, min(at + SLICE_CHARS + MAX_TERM - 1, len(codes)))
+        start, end, _ = sparse_windows(codes[piece], ordered=False, owner=owner[piece])
+        own = start < SLICE_CHARS
+        start, end = start[own], end[own]
+        found.append((window_hashes(codes[piece], start, end), owner[piece][start]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    hashes, text = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(hashes, kind="stable")  # windows of one term have one length and stand in order of their texts
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[new], text[new]
+
+
+def term_postings(docs: DataFrame) -> DataFrame:
+    """(term_hash, docs) of rows (doc_id, content): doc_ids by term, grouped within about SLICE_CHARS of text.
+
+    A term has a row for each group of documents that hold it, a document is
+    once among a term's.  Null contents have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in _slices(texts):
+                hashes, text = _pairs(texts[lo:hi])
+                first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, dtype=np.int64)
+                bounds = np.append(first, len(hashes)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[first]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids[lo:hi][text].astype(np.int64)))], names=["term_hash", "docs"])
+
+    share_package(docs.sparkSession)
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "term_hash long, docs array<long>")
+
+
 def term_hashes(docs: DataFrame) -> DataFrame:
     """(term_hash, doc_id) of rows (doc_id, content), each term once per document.  Null contents have none."""
+    return term_postings(docs).select("term_hash", F.explode("docs").alias("doc_id"))
+
+
+def term_rows(docs: DataFrame, longest: int = MAX_TERM) -> DataFrame:
+    """(doc_id, term, start, end, weight): every sparse n-gram of rows (doc_id, content), with its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                codes = codes_of(text.as_py() or "")
-                if len(codes) > 1:
-                    start, end, _ = sparse_windows(codes, ordered=False)
-                    hashes = np.unique(window_hashes(codes, start, end))
-                    held.append((i, hashes))
-                    size += len(hashes)
-                if size > EMITTED:
-                    yield emitted(held)
-                    held, size = [], 0
-            if held:
-                yield emitted(held)
-
-    def emitted(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        ids = np.repeat(np.array([i for i, _ in held], dtype=np.int64), [len(h) for _, h in held])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, h in held])), pa.array(ids)], names=["term_hash", "doc_id"])
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                start, end, weight = sparse_windows(codes_of(text or ""), longest)
+                terms = pa.array([text[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), i), pa.int64()), terms, *(pa.array(x.astype(np.int32)) for x in (start, end, weight))], names=["doc_id", "term", "start", "end", "weight"])
 
     share_package(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "term_hash long, doc_id long")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "doc_id long, term string, start int, `end` int, weight int")
+
+
+def hashed_term(term: str) -> Column:
+    """``term_hash`` of a column of terms."""
+
+    @F.pandas_udf("long")
+    def run(terms: pd.Series) -> pd.Series:
+        codes = codes_of("".join(terms))
+        end = np.cumsum(terms.str.len().to_numpy(dtype=np.int64))
+        return pd.Series(window_hashes(codes, end - terms.str.len().to_numpy(dtype=np.int64), end))
+
+    return run(F.col(term))
 
 
 # Column forms

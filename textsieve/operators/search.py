@@ -53,9 +53,10 @@ def _first_documents(hits: DataFrame, most: int | None, keep_content: bool) -> D
 def _regex_pieces(docs: DataFrame, java: str, most: int | None) -> DataFrame:
     """(path, _row, _pos, gap, match): each match with the text between it and the one before.
 
+    No match begins inside a surrogate pair, so that offsets count code points.
     ``split`` leaves out the empty gap before an empty match at the start.
     """
-    whole = F.lit(f"(?:{java})")
+    whole = F.lit(rf"(?![\uDC00-\uDFFF])(?:{java})")
     cut = docs.select(*_KEY, F.split("content", whole, -1).alias("_gaps"), F.regexp_extract_all("content", whole, F.lit(0)).alias("_found"))
     gaps = F.when(F.size("_gaps") == F.size("_found"), F.concat(F.array(F.lit("")), "_gaps")).otherwise(F.col("_gaps"))
     both = F.arrays_zip(gaps.alias("gap"), F.col("_found").alias("match"))
@@ -81,12 +82,11 @@ def _python_pieces(docs: DataFrame, pattern: str, most: int | None) -> DataFrame
         for frame in frames:
             pieces = []
             for text in frame["content"]:
-                own, end = [], 0
-                for m in find.finditer(text or ""):
-                    if most is not None and len(own) >= most:
-                        break
+                text, own, end, at = text or "", [], 0, 0
+                while at <= len(text) and (most is None or len(own) < most) and (m := find.search(text, at)):
                     own.append({"gap": text[end : m.start()], "match": m.group()})
                     end = m.end()
+                    at = max(end, m.start() + 1)  # after an empty match the next one begins a character later
                 pieces.append(own)
             frame["pieces"] = pieces
             yield frame[[len(x) > 0 for x in pieces]]

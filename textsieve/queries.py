@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textsieve.functions.globs import glob_regex
-from textsieve.functions.grams import covering_terms, gram_rows, masked_trigrams, pair_weight_array, sparse_term_array, term_hashes, trigram_rows
+from textsieve.functions.grams import covering_terms, gram_rows, hashed_term, masked_trigrams, term_hashes, term_rows, trigram_rows
 from textsieve.functions.weights import FIRST, FREQUENCY, SCALE, SECOND, SPREAD, SYMBOL_BONUS, UNRANKED, weight_column
-from textsieve.operators.index import active_docs, candidates, overlay_diff
+from textsieve.operators.index import TableIndex, active_docs, candidates, overlay_diff, postings_of
 from textsieve.operators.inspect import inspect_terms
 from textsieve.operators.search import literal_matches, regex_matches, search_literal
 from textsieve.plans.query_plan import explain, literal_condition, pruning
 from textsieve.plans.translate import translate
 from textsieve.plans.workflow import plan_search
-from textsieve.sources.corpus import snapshot_revision, table_corpus, text_filter
+from textsieve.scratch import Scratch
+from textsieve.sources.corpus import DIGITS, LEVELS, snapshot_revision, table_corpus, text_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -252,10 +253,10 @@ def trigram_df(spark, sf_dir):
 @query(
     "masked_trigrams",
     """SELECT doc_id, term, min(i)::INT AS start, lpad(format('{:b}', bit_or(1 << (i % 8)::INT)), 8, '0') AS loc_mask, lpad(format('{:b}', bit_or(CASE WHEN nx = '' THEN 0 ELSE 1 << (unicode(nx) % 8)::INT END)), 8, '0') AS next_mask
-FROM (SELECT item_id AS doc_id, i, substr(text, (i + 1)::BIGINT, 3) AS term, substr(text, (i + 4)::BIGINT, 1) AS nx FROM benchmark, unnest(range(0, length(text) - 2)) AS u(i)) GROUP BY doc_id, term""",
+FROM (SELECT doc_id, i, substr(text, (i + 1)::BIGINT, 3) AS term, substr(text, (i + 4)::BIGINT, 1) AS nx FROM documents, unnest(range(0, length(text) - 2)) AS u(i)) GROUP BY doc_id, term""",
 )
 def masked(spark, sf_dir):
-    return masked_trigrams(table_corpus(spark, sf_dir, "benchmark").select("doc_id", "content"), ["doc_id"])
+    return masked_trigrams(_docs(spark, sf_dir).select("doc_id", "content"), ["doc_id"])
 
 
 def _weight_sql(pair: str) -> str:
@@ -272,31 +273,57 @@ def bigram_weights(spark, sf_dir):
     return pairs.select("pair", "n", weight_column(F.col("pair")).cast("int").alias("weight"))
 
 
-_SPARSE_SQL = f"""WITH w AS (SELECT item_id AS doc_id, text, list_transform(range(1, length(text)), lambda i: {_weight_sql("substr(text, i, 2)")}) AS ws FROM benchmark WHERE length(text) >= 2),
-p AS (SELECT doc_id, text, ws, s, e FROM w, unnest(range(1, len(ws) + 1)) AS a(s), unnest(range(0, 23)) AS b(d), LATERAL (SELECT s + d AS e) WHERE e <= len(ws))
-SELECT doc_id, substr(text, s, e - s + 2) AS term, (s - 1)::INT AS start, (e + 1)::INT AS stop, greatest(ws[s], ws[e])::INT AS weight FROM p WHERE e - s <= 1 OR least(ws[s], ws[e]) > list_max(ws[s + 1:e - 1])"""
+def _sparse_sql(table: str, key: str, longest: int = 24) -> str:
+    """Characters as rows; windows over the rows that follow give all n-grams that begin at a character."""
+    ahead = lambda c, k: f"lead({c}, {k}) OVER o AS {c}{k}" if k else f"{c} AS {c}0"
+    chars = ", ".join(ahead("c", k) for k in range(longest))
+    weights = ", ".join(ahead("w", k) for k in range(longest - 1))
+    grams = []
+    for size in range(2, longest + 1):
+        inside = [f"w{k}" for k in range(1, size - 2)]
+        sound = f"least(w0, w{size - 2}) > greatest({', '.join(inside)})" if inside else "true"
+        term = " || ".join(f"c{k}" for k in range(size))
+        grams.append(f"CASE WHEN w{size - 2} IS NOT NULL AND {sound} THEN {{'term': {term}, 'start': i::INT, 'stop': (i + {size})::INT, 'weight': greatest(w0, w{size - 2})::INT}} END")
+    return f"""WITH s AS (SELECT {key} AS doc_id, unnest(range(0, length(text))) AS i, unnest(string_split(text, '')) AS c FROM {table}),
+n AS (SELECT *, lead(c) OVER (PARTITION BY doc_id ORDER BY i) AS d FROM s), p AS (SELECT doc_id, i, c, CASE WHEN d IS NOT NULL THEN {_weight_sql("(c || d)")} END AS w FROM n),
+a AS (SELECT doc_id, i, {chars}, {weights} FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, unnest(list_filter([{', '.join(grams)}], lambda x: x IS NOT NULL)) AS g FROM a)
+SELECT doc_id, g.term AS term, g.start AS start, g.stop AS stop, g.weight AS weight FROM g"""
 
 
-def _sparse(spark, sf_dir) -> DataFrame:
-    rows = table_corpus(spark, sf_dir, "benchmark").withColumn("ws", pair_weight_array(F.col("content")))
-    terms = rows.select("doc_id", F.explode(sparse_term_array(F.col("content"), F.col("ws"))).alias("t"))
-    return terms.select("doc_id", "t.term", F.col("t.start").cast("int").alias("start"), F.col("t.end").cast("int").alias("stop"), F.col("t.weight").cast("int").alias("weight"))
+_SPARSE_SQL = _sparse_sql("documents", "doc_id")
+_ITEMS_SQL = _sparse_sql("benchmark", "item_id")
 
 
-@query("sparse_terms", _SPARSE_SQL)
+def _sparse(spark, sf_dir, table: str = "documents") -> DataFrame:
+    return term_rows(table_corpus(spark, sf_dir, table)).withColumnRenamed("end", "stop")
+
+
+@query("sparse_terms", _ITEMS_SQL)
 def sparse(spark, sf_dir):
-    return _sparse(spark, sf_dir)
+    return _sparse(spark, sf_dir, "benchmark")
 
 
-@query("inverted_index", f"SELECT term, doc_id, string_agg(start::VARCHAR, ',' ORDER BY start) AS positions FROM ({_SPARSE_SQL}) GROUP BY term, doc_id")
+@query("inverted_index", f"SELECT term, doc_id, string_agg(start::VARCHAR, ',' ORDER BY start) AS positions FROM ({_ITEMS_SQL}) GROUP BY term, doc_id")
 def inverted_index(spark, sf_dir):
-    return _sparse(spark, sf_dir).groupBy("term", "doc_id").agg(F.array_join(F.sort_array(F.collect_list("start")), ",").alias("positions"))
+    return _sparse(spark, sf_dir, "benchmark").groupBy("term", "doc_id").agg(F.array_join(F.sort_array(F.collect_list("start")), ",").alias("positions"))
+
 
+@query("term_stats", f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs, sum(start)::BIGINT AS starts, sum(stop)::BIGINT AS stops, min(weight) AS weight FROM ({_SPARSE_SQL}) GROUP BY term")
+def term_stats(spark, sf_dir):
+    """Every sparse n-gram of the documents with its places, summed up by term."""
+    per_doc = _sparse(spark, sf_dir).groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("stop").alias("stops"), F.min("weight").alias("weight"))
+    return per_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.sum("starts").alias("starts"), F.sum("stops").alias("stops"), F.min("weight").alias("weight"))
 
-@query("posting_counts")
+
+@query("posting_counts", f"SELECT term, count(DISTINCT doc_id) AS docs FROM ({_SPARSE_SQL}) GROUP BY term")
 def posting_counts(spark, sf_dir):
-    """Documents of each term of the index over the whole table; its hashes have no SQL form."""
-    return term_hashes(_docs(spark, sf_dir)).groupBy("term_hash").agg(F.count("*").alias("docs"))
+    """Documents of each term, read back from stored posting lists by the hash of the term."""
+    docs = _docs(spark, sf_dir)
+    stored = Scratch(spark, "postings").save(postings_of(docs), "postings")
+    counts = stored.groupBy("term_hash").agg(F.sum(F.size("docs")).alias("docs"))
+    terms = term_rows(docs).select("term").distinct().withColumn("term_hash", hashed_term("term"))
+    return terms.join(counts, "term_hash").select("term", "docs")
 
 
 # Pruned searches
@@ -383,6 +410,86 @@ def tombstones(spark, sf_dir):
     return literal_matches(_active(spark, sf_dir), WORD, max_results=None, context=False).groupBy("path").agg(F.count("*").alias("n"))
 
 
+# A stored index: base, overlay, searches, status and clearing
+
+
+def _stored(spark, sf_dir, refreshed: bool = True) -> tuple[TableIndex, DataFrame, list[dict]]:
+    """An index of the documents, and the working copy that its overlay holds if it is refreshed."""
+    base, working = _layers(spark, sf_dir)
+    index = TableIndex(spark, Scratch(spark, "index").root, f"documents of {sf_dir}")
+    made = [index.ensure(base)]
+    return index, working, [*made, index.ensure(working)] if refreshed else made
+
+
+@query("index_ensure", _DIFF_SQL + """ SELECT (SELECT count(*) FROM base) AS file_count, (SELECT count(*) FROM diff WHERE change IN ('added', 'changed')) AS overlay_file_count,
+(SELECT count(*) FROM diff WHERE change = 'deleted') AS deleted, false AS first_reused, true AS then_reused, true AS same_base""")
+def index_ensure(spark, sf_dir):
+    index, _, (first, then) = _stored(spark, sf_dir)
+    row = (then["file_count"], then["overlay_file_count"], index.manifest()["overlay"]["deleted"], first["reused"], then["reused"], first["base_id"] == then["base_id"])
+    return spark.createDataFrame([row], "file_count long, overlay_file_count long, deleted long, first_reused boolean, then_reused boolean, same_base boolean")
+
+
+@query("index_changes", _DIFF_SQL + " SELECT d.path, change, w.content_hash FROM diff d LEFT JOIN work w ON d.path = w.path WHERE change IS NOT NULL")
+def index_changes(spark, sf_dir):
+    return _stored(spark, sf_dir)[0].changes()
+
+
+@query("index_docs", _DIFF_SQL + " SELECT w.doc_id, w.path, w.content_hash, CASE WHEN d.change IS NULL THEN 'base' ELSE 'overlay' END AS layer FROM work w LEFT JOIN diff d ON w.path = d.path")
+def index_docs(spark, sf_dir):
+    return _stored(spark, sf_dir)[0].docs().select("doc_id", "path", "content_hash", "layer")
+
+
+@query("index_status", _DIFF_SQL + " SELECT path, change FROM diff WHERE change IS NOT NULL")
+def index_status(spark, sf_dir):
+    """What is stale before the overlay is refreshed."""
+    index, working, _ = _stored(spark, sf_dir, refreshed=False)
+    return index.stale(working)
+
+
+@query("index_fresh", _LAYERS_SQL + " SELECT true AS ready, 0::BIGINT AS stale_count, count(*) AS file_count FROM base")
+def index_fresh(spark, sf_dir):
+    index, working, _ = _stored(spark, sf_dir)
+    status = index.status(working)
+    return spark.createDataFrame([tuple(status[c] for c in ("ready", "stale_count", "file_count"))], "ready boolean, stale_count long, file_count long")
+
+
+@query("index_literal_search", _LAYERS_SQL + f" SELECT path, len(string_split(content, '{WORD}')) - 1 AS n FROM work WHERE contains(content, '{WORD}')")
+def index_literal_search(spark, sf_dir):
+    found = _stored(spark, sf_dir)[0].literal_candidates(WORD)
+    return literal_matches(found, WORD, max_results=None, context=False).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("index_regex_search", _LAYERS_SQL + f" SELECT path, len(regexp_extract_all(content, {_text(MAIL)}))::BIGINT AS n FROM work WHERE regexp_matches(content, {_text(MAIL)})")
+def index_regex_search(spark, sf_dir):
+    found = _stored(spark, sf_dir)[0].regex_candidates(MAIL)
+    return regex_matches(found, MAIL, max_results=None, context=False).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("index_prunes", _LAYERS_SQL + f", own AS (SELECT count(*) AS hits FROM work WHERE contains(content, {_text('Apache License')})) SELECT hits, true AS all_found, true AS pruned FROM own")
+def index_prunes(spark, sf_dir):
+    """Candidates hold every hit, and are fewer than half of the documents."""
+    index = _stored(spark, sf_dir)[0]
+    near = index.literal_candidates("Apache License").agg(F.count("*").alias("near"), F.count_if(F.contains("content", F.lit("Apache License"))).alias("hits"))
+    whole = index.corpus().agg(F.count("*").alias("docs"), F.count_if(F.contains("content", F.lit("Apache License"))).alias("all_hits"))
+    counts = {**near.first().asDict(), **whole.first().asDict()}
+    row = (counts["hits"], counts["hits"] == counts["all_hits"], 2 * counts["near"] < counts["docs"])
+    return spark.createDataFrame([row], "hits long, all_found boolean, pruned boolean")
+
+
+@query("index_clear", f"SELECT doc_id, path, sha256(content) AS content_hash, 'base' AS layer FROM ({CORPUS_SQL['documents']})")
+def index_clear(spark, sf_dir):
+    index = _stored(spark, sf_dir)[0]
+    index.clear("overlay")
+    return index.docs().select("doc_id", "path", "content_hash", "layer")
+
+
+@query("index_cleared", "SELECT false AS ready, true AS cleared, 0::BIGINT AS stored_bytes")
+def index_cleared(spark, sf_dir):
+    index = _stored(spark, sf_dir, refreshed=False)[0]
+    cleared = index.clear("all")["cleared"]
+    return spark.createDataFrame([(index.status()["ready"], cleared, index.stored_bytes())], "ready boolean, cleared boolean, stored_bytes long")
+
+
 # Fingerprints and filters
 
 
@@ -391,9 +498,17 @@ def content_hash(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("long").alias("size"))
 
 
-@query("snapshot_revision", f"SELECT 'snapshot:' || sha256(string_agg(path || ':' || sha256(content), chr(10) ORDER BY path)) AS revision FROM ({CORPUS_SQL['benchmark']})")
+def _revision_sql() -> str:
+    """Digests of digests, from the buckets of paths up."""
+    rows = f"SELECT sha256(path || ':' || sha256(content)) AS d, substr(sha256(path), 1, {LEVELS * DIGITS}) AS bucket FROM ({CORPUS_SQL['documents']})"
+    for level in range(LEVELS, -1, -1):
+        rows = f"SELECT substr(bucket, 1, {level * DIGITS}) AS bucket, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM ({rows}) GROUP BY 1"
+    return f"SELECT 'snapshot:' || d AS revision FROM ({rows})"
+
+
+@query("snapshot_revision", _revision_sql())
 def revision(spark, sf_dir):
-    return snapshot_revision(table_corpus(spark, sf_dir, "benchmark").withColumn("content_hash", F.sha2("content", 256)))
+    return snapshot_revision(_docs(spark, sf_dir).withColumn("content_hash", F.sha2("content", 256)))
 
 
 @query("text_filter", "SELECT page_id AS doc_id, NOT contains(html, chr(0)) AND len(regexp_extract_all(html, '[\\x01-\\x08\\x0E-\\x1F]')) / greatest(strlen(html), 1) < 0.02 AS is_text FROM pages")
@@ -408,13 +523,25 @@ def globbed(spark, sf_dir):
     return _docs(spark, sf_dir).where(glob_filter(F.col("path"), ["src1?/{de,fr}/*[!0-4].txt"])).select("path")
 
 
-@query("line_context", "SELECT item_id AS doc_id, line, string_split(text, chr(10))[line] AS text, lag(string_split(text, chr(10))[line]) OVER w AS before, lead(string_split(text, chr(10))[line]) OVER w AS after FROM benchmark, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(line) WINDOW w AS (PARTITION BY item_id ORDER BY line)")
+@query("line_context", "SELECT doc_id, line, string_split(text, chr(10))[line] AS text, lag(string_split(text, chr(10))[line]) OVER w AS before, lead(string_split(text, chr(10))[line]) OVER w AS after FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(line) WINDOW w AS (PARTITION BY doc_id ORDER BY line)")
 def line_context(spark, sf_dir):
-    lines = table_corpus(spark, sf_dir, "benchmark").select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("at", "text"))
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("at", "text"))
     w = Window.partitionBy("doc_id").orderBy("at")
     return lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), "text", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
 
 
+@query("many_matches", """WITH d AS (SELECT doc_id, text || repeat(' ab', 20000) AS content FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)), p AS (SELECT doc_id, string_split(content, 'ab') AS parts FROM d),
+k AS (SELECT doc_id, unnest(range(1, len(parts))) AS k, unnest(parts[1:len(parts) - 1]) AS gap FROM p), s AS (SELECT k, sum(length(gap)) OVER (ORDER BY k) + 2 * (k - 1) AS start FROM k)
+SELECT count(*) AS n, sum(start)::BIGINT AS starts, max(start)::BIGINT AS last FROM s""")
+def many_matches(spark, sf_dir):
+    """Twenty thousand matches in one text: the first document with a long tail."""
+    docs = _docs(spark, sf_dir)
+    first = docs.agg(F.min("doc_id").alias("doc_id"))
+    long = docs.join(F.broadcast(first), "doc_id", "left_semi").withColumn("content", F.concat("content", F.repeat(F.lit(" ab"), F.lit(20_000))))
+    found = regex_matches(long, "ab", max_results=None, context=False)
+    return found.agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.max("start").alias("last"))
+
+
 @query("plan_json")
 def plan_json(spark, sf_dir):
     """All fields of the plans of PATTERNS as JSON."""

@@ -15,4 +15,5 @@ CORPUS = T.StructType(
 )
 #: One row of a search's result; offsets count code points, lines and columns start at 1.
 MATCH = "path string, start long, line long, column long, end_line long, end_column long, match string, context_before array<string>, context_line string, context_after array<string>"
-POSTINGS = "term_hash long, doc_id long"
+POSTINGS = "term_hash long, docs array<long>"
+CHANGES = "path string, change string, content_hash string"

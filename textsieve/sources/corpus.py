@@ -25,7 +25,10 @@ from textsieve.session import share_package
 ALWAYS_IGNORED = (".git", CACHE_DIR, "node_modules", "dist")
 CONTROL_SHARE = 0.02
 ALL_FILES = ["**/*"]
-
+#: Levels of a snapshot's digest, and hex digits that each of them adds to a bucket (of 16 to that power).
+LEVELS, DIGITS = 3, 2
+#: Files that a task reads.
+FILES = 256
 
 
 def table_corpus(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -111,6 +114,15 @@ def list_files(root: str, include: list[str], exclude: list[str]) -> list[str]:
     return _selected(found, root, include, exclude)
 
 
+def listing(root: str, include: list[str], exclude: list[str]) -> str:
+    """A digest of the names, sizes and times of the files to search, and of what git has checked out."""
+    digest = hashlib.sha256(repr((include, exclude, detect_git(root))).encode())
+    for path in list_files(root, include, exclude):
+        at = os.stat(os.path.join(root, path))
+        digest.update(f"{path}\0{at.st_size}\0{at.st_mtime_ns}\n".encode())
+    return digest.hexdigest()
+
+
 def _row(path: str, root: str, data: bytes, mtime: float, tracked: bool) -> tuple:
     text = data.decode("utf-8", "replace")
     return path, os.path.join(root, path), text, hashlib.sha256(text.encode()).hexdigest(), len(data), mtime, tracked
@@ -123,8 +135,8 @@ def _read(spark: SparkSession, paths: list[str], read) -> DataFrame:
             yield pd.DataFrame(rows, columns=CORPUS.names)
 
     share_package(spark)
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(1, min(len(paths), 64)), "path").mapInPandas(run, CORPUS)
+    parts = max(1, -(-len(paths) // FILES))
+    return spark.createDataFrame(spark.sparkContext.parallelize([(p,) for p in paths], parts), "path string").mapInPandas(run, CORPUS)
 
 
 def read_files(spark: SparkSession, root: str, paths: list[str], tracked: bool) -> DataFrame:
@@ -147,34 +159,36 @@ def read_head(spark: SparkSession, root: str, repo: str, prefix: str, head: str,
     own = [p[len(prefix) :] for p in listed if p and p.startswith(prefix)]
 
     def read(names: list[str]) -> Iterator[tuple]:
-        asked = "".join(f"{head}:{prefix}{n}\n" for n in names).encode()
-        out, at = _git(repo, "cat-file", "--batch", data=asked) or b"", 0
-        for name in names:
-            end = out.index(b"\n", at)
-            size = int(out[at:end].split()[-1])
-            data, at = out[end + 1 : end + 1 + size], end + 2 + size
-            if b"\0" not in data:
-                yield _row(name, root, data, 0.0, True)
+        # One blob at a time: the next is asked for when the one before has been read.
+        with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:
+            for name in names:
+                git.stdin.write(f"{head}:{prefix}{name}\n".encode())
+                git.stdin.flush()
+                data = git.stdout.read(int(git.stdout.readline().split()[-1]) + 1)[:-1]
+                if b"\0" not in data:
+                    yield _row(name, root, data, 0.0, True)
+            git.stdin.close()
 
     return _read(spark, _selected(own, root, include, exclude), read)
 
 
 def snapshot_revision(corpus: DataFrame) -> DataFrame:
-    """One row (revision): a digest of all paths and content hashes, in path order.
+    """One row (revision): a digest of all paths and content hashes, whatever their order.
 
-    All of them meet in one row; ``revision_of`` gives the same for any size.
+    Rows are digested where they lie and the digests of a bucket of paths are
+    sorted and digested again; no more than 16**DIGITS digests meet above
+    the lowest level.
     """
-    rows = F.array_sort(F.collect_list(F.struct("path", "content_hash")))
-    return corpus.agg(F.concat(F.lit("snapshot:"), F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["path"], F.lit(":"), r["content_hash"])), "\n"), 256)).alias("revision"))
+    row = F.sha2(F.concat_ws(":", "path", "content_hash"), 256)
+    rows = corpus.select(row.alias("d"), F.substring(F.sha2("path", 256), 1, LEVELS * DIGITS).alias("bucket"))
+    for level in range(LEVELS, -1, -1):
+        rows = rows.groupBy(F.substring("bucket", 1, level * DIGITS).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d"))
+    return rows.select(F.concat(F.lit("snapshot:"), "d").alias("revision"))
 
 
 def revision_of(corpus: DataFrame) -> str:
-    """The digest of ``snapshot_revision``, from sorted rows that pass through the driver one partition at a time."""
-    digest, first = hashlib.sha256(), True
-    for path, content_hash in corpus.select("path", "content_hash").orderBy("path").toLocalIterator(prefetchPartitions=True):
-        digest.update(("" if first else "\n").encode() + f"{path}:{content_hash}".encode())
-        first = False
-    return f"snapshot:{digest.hexdigest()}"
+    """The digest of ``snapshot_revision``."""
+    return snapshot_revision(corpus).first()[0]
 
 
 def discover(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> Discovered:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textsieve.functions.grams import term_hashes
+from textsieve.operators.index import postings_of
 
 
 def feed_postings(docs: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -16,7 +17,7 @@ def feed_postings(docs: DataFrame, out: str, checkpoint: str, once: bool = False
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        term_hashes(batch).repartitionByRange("term_hash").sortWithinPartitions("term_hash", "doc_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        postings_of(batch).select("term_hash", F.explode("docs").alias("doc_id")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = docs.select("doc_id", "content").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
