@@ -83,6 +83,58 @@ def test_fill_and_budgets():
     assert sum(budgets(leaves, {}, 10**9, 2).values()) == 2 * 1210
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_leaf_budgets_equal_those_of_the_tree(spark, seed):
+    from textsieve.llm.mixing import leaf_budgets
+
+    rng = random.Random(seed)
+    leaves = {(d, lang, f"s{i}"): rng.choice([0, 1, 5, 40, 40, 300]) for d in "ab" for lang in ("en", "de") for i in range(rng.randint(1, 9))}
+    weights = {path: rng.choice([0.0, 0.5, 2.0, 7.0]) for path in leaves if rng.random() < 0.5} | {("a",): 0.7, ("b",): 0.3, ("a", "en"): 3.0}
+    epochs, total = rng.choice([1, 3]), rng.choice([0.3, 0.9, 5]) * sum(leaves.values())
+    upper = defaultdict(int)
+    for (d, lang, _), n in leaves.items():
+        upper[d, lang] += n
+    given = budgets(dict(upper), weights, total, epochs)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = leaf_budgets(
+        frame([(*p, n) for p, n in leaves.items()], "domain string, lang string, source string, tokens long"),
+        frame([(*p, x) for p, x in given.items()], "domain string, lang string, total double"),
+        frame([(*p, w) for p, w in weights.items() if len(p) == 3], "domain string, lang string, source string, weight double"),
+        epochs,
+        Scratch(spark, "t"),
+    )
+    got = {tuple(r[:3]): r["budget"] for r in got.collect()}
+    for parent, share in given.items():
+        own = [p for p in leaves if p[:2] == parent]
+        want = fill(share, [weights.get(p, 1.0) for p in own], [leaves[p] * epochs for p in own])
+        assert [got[p] for p in own] == pytest.approx(want, abs=1e-6)
+
+
+def test_mixing_equals_brute_force(spark):
+    """Whole epochs, then the longest prefix of the last epoch's order that fits, leaf by leaf."""
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.randint(0, 20), rng.choice(["en", "de"]), rng.choice(["s1", "s2", "s3"])) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    weights, share, epochs = {("d", "en"): 0.9, ("d", "de"): 0.1, ("d", "en", "s1"): 5.0}, 0.7, 3
+    leaves, tokens = defaultdict(int), {i: len(t.split()) for i, t, *_ in rows}
+    for i, _, lang, source in rows:
+        leaves["d", lang, source] += tokens[i]
+    given = budgets(dict(leaves), weights, share * sum(leaves.values()), epochs)
+    want = Counter()
+    for path, budget in given.items():
+        own = [i for i, _, *p in rows if ("d", *p) == path]
+        whole = min(int((budget + 1e-6) // leaves[path]), epochs)
+        want.update((i, e) for i in own for e in range(whole))
+        rest, used = int(budget + 1e-6) - whole * leaves[path], 0
+        keys = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(17), F.lit(whole))).collect()}
+        for i in sorted(own, key=lambda i: (keys[i], i)) if rest > 0 else ():
+            used += tokens[i]
+            if used > rest:
+                break
+            want[i, whole] += 1
+    assert Counter((r["doc_id"], r["epoch"]) for r in mix(df, F.lit("d"), weights, share, max_epochs=epochs).collect()) == want
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(1, 30), rng.choice(["en", "de", None]), rng.choice(["s1", "s2", None])) for i in range(600)] + [(None, "a b", "en", "s1"), (9000, None, "en", "s1"), (9001, "", "en", "s1"), (1, "a b", "en", "s1")]

@@ -4,7 +4,9 @@ Documents are leaves of a tree of domain, language and source.  A token budget
 is handed down by the weights of siblings.  What a child cannot fill, even by
 repeating its documents ``max_epochs`` times, goes to its siblings by their
 weights, and only what all of them cannot fill goes back to the parent, whose
-siblings share it in the same way.
+siblings share it in the same way.  Budgets of domains and languages, which are
+few, are worked out on the driver; sources may be as many as web hosts, so
+theirs come from running sums over a DataFrame (``leaf_budgets``).
 
 A leaf fills its budget epoch by epoch: whole epochs first, then the longest
 prefix of the last epoch's order that does not exceed the rest.  The order of
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsieve.llm import kernels as K
-from textsieve.llm.prefix import ranked
+from textsieve.llm.prefix import BROADCAST_ROWS, ranked
 from textsieve.scratch import Scratch
 
 LEVELS = ("domain", "lang", "source")
@@ -67,6 +69,29 @@ def budgets(leaves: dict[tuple[str, ...], int], weights: dict[tuple[str, ...], f
     return {path: out.get(path, 0.0) for path in leaves}
 
 
+def leaf_budgets(leaves: DataFrame, given: DataFrame, weights: DataFrame, max_epochs: int, scratch: Scratch) -> DataFrame:
+    """(domain, lang, source, tokens, budget): the shares of siblings, as ``fill`` gives them.
+
+    leaves: (domain, lang, source, tokens); given: (domain, lang, total), the
+    parents' budgets; weights: (domain, lang, source, weight) of leaves that do
+    not weigh 1.  A leaf gets its weight times the level of its parent, up to
+    its capacity.  In the order of capacity by weight leaves are filled until
+    the level that the rest would get no longer fills the next: that level is
+    the greatest of those.
+    """
+    parent = ["domain", "lang"]
+    rows = leaves.join(F.broadcast(given), parent).join(F.broadcast(weights), list(LEVELS), "left")
+    rows = rows.select(*LEVELS, "tokens", "total", F.coalesce("weight", F.lit(1.0)).alias("weight"), (F.col("tokens") * max_epochs).alias("capacity"))
+    open_ = rows.where("weight > 0 and capacity > 0").withColumn("ratio", F.col("capacity") / F.col("weight"))
+    order = ranked(open_, parent, ["ratio", "source"], scratch, "leaf_order", {"capacities": "capacity", "weights": "weight"})
+    whole = open_.groupBy(*parent).agg(F.sum("weight").alias("all_weights"))
+    left = (F.col("total") - F.col("capacities") + F.col("capacity")) / (F.col("all_weights") - F.col("weights") + F.col("weight"))
+    level = order.join(whole, parent).groupBy(*parent).agg(F.max(left).alias("level"))
+    filled = rows.join(level, parent, "left")
+    budget = F.when((F.col("weight") > 0) & (F.col("capacity") > 0), F.least("capacity", F.col("level") * F.col("weight"))).otherwise(0.0)
+    return filled.select(*LEVELS, "tokens", F.greatest(budget, F.lit(0.0)).alias("budget"))
+
+
 def mix(documents: DataFrame, domain: Column, weights: dict[tuple[str, ...], float], share: float, max_epochs: int = 4, seed: int = SEED) -> DataFrame:
     """(doc_id, domain, lang, source, n_tokens, epoch): a row for each document and epoch that it is taken in.
 
@@ -75,8 +100,8 @@ def mix(documents: DataFrame, domain: Column, weights: dict[tuple[str, ...], flo
     blank text has no tokens: it costs nothing and is taken once for each epoch
     begun by its leaf, if any budget reaches the leaf.  Repeated rows are
     separate documents of equal order; a null doc_id is ordered like any other.
-    An empty table gives no rows.  Only the named columns are read.  The leaves
-    (sources by language) reach the driver, documents never do.
+    An empty table gives no rows.  Only the named columns are read.  Domains and
+    languages reach the driver, sources and documents never do.
     """
     spark: SparkSession = documents.sparkSession
     K.tune(spark)
@@ -84,16 +109,19 @@ def mix(documents: DataFrame, domain: Column, weights: dict[tuple[str, ...], flo
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long")
     named = lambda c: F.coalesce(c.cast("string"), F.lit(UNKNOWN))
     docs = s.save(documents.select("doc_id", named(domain).alias("domain"), named(F.col("lang")).alias("lang"), named(F.col("source")).alias("source"), tokens.alias("n_tokens")), "docs")
-    leaves = {tuple(r[c] for c in LEVELS): r["n"] for r in docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n")).collect()}
-    given = budgets(leaves, weights, share * sum(leaves.values()), max_epochs)
-    rows = []
-    for path, budget in given.items():
-        whole = min(int((budget + 1e-6) // leaves[path]), max_epochs) if leaves[path] else int(budget > 0)
-        rows.append((*path, whole, int(budget + 1e-6) - whole * leaves[path]))
-    plan = spark.createDataFrame(rows, "domain string, lang string, source string, whole int, rest long")
-    placed = docs.join(F.broadcast(plan), list(LEVELS)).withColumn("at", F.xxhash64("doc_id", F.lit(seed), "whole"))
+    leaves = s.save(docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    upper = {(r["domain"], r["lang"]): r["n"] for r in leaves.groupBy("domain", "lang").agg(F.sum("tokens").alias("n")).collect()}  # domains and languages are few
+    given = budgets(upper, weights, share * sum(upper.values()), max_epochs)
+    given = spark.createDataFrame([(*path, float(total)) for path, total in given.items()], "domain string, lang string, total double")
+    own = spark.createDataFrame([(*path, float(w)) for path, w in weights.items() if len(path) == len(LEVELS)], "domain string, lang string, source string, weight double")
+    budgeted = leaf_budgets(leaves, given, own, max_epochs, s).withColumn("budget", F.col("budget") + 1e-6)
+    whole = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens")), F.lit(max_epochs))).otherwise(0).cast("int")
+    plan = s.save(budgeted.withColumn("whole", whole).select(*LEVELS, "whole", (F.floor("budget") - F.col("whole") * F.col("tokens")).cast("long").alias("rest")), "plan")
+    if plan.count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
+    placed = docs.join(plan, list(LEVELS)).withColumn("at", F.xxhash64("doc_id", F.lit(seed), "whole"))
     last = ranked(placed.where("rest > 0").drop("rest", "whole"), list(LEVELS), ["at", "doc_id", "n_tokens"], s, "order", "n_tokens")
-    last = last.join(F.broadcast(plan), list(LEVELS)).where("running <= rest").withColumn("epoch", F.col("whole"))
+    last = last.join(plan, list(LEVELS)).where("running <= rest").withColumn("epoch", F.col("whole"))
     full = placed.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
     columns = ["doc_id", *LEVELS, "n_tokens", "epoch"]
     return full.select(columns).union(last.select(columns))
