@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from textsieve.config import MAX_TERM
 from textsieve.functions.weights import pair_weights, weight_column
-from textsieve.session import share_package
+from textsieve.session import share_package, spread
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -200,7 +200,7 @@ def term_postings(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[first]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids[lo:hi][text].astype(np.int64)))], names=["term_hash", "docs"])
 
     share_package(docs.sparkSession)
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "term_hash long, docs array<long>")
+    return spread(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "content")).mapInArrow(run, "term_hash long, docs array<long>")
 
 
 def term_hashes(docs: DataFrame) -> DataFrame:
