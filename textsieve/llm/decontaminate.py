@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from textsieve.llm import kernels as K
 from textsieve.scratch import Scratch
+from textsieve.session import spread
 
 #: Words of a window; shorter items are one window, those of fewer than LEAST words a sentence.
 WINDOW, LEAST = 8, 5
@@ -188,7 +189,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW values
     if not sizes:
         return spark.createDataFrame([], "doc_id long, item_id long, coverage double, matched_windows long, exact boolean")
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    docs = spread(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"))
     found = windows(docs, sizes, bit_table(items))
     theirs = items.withColumnRenamed("id", "item_id").join(light, "item_id", "left").select("hash", "size", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("total").alias("item_total"), F.col("light").alias("item_light"), "light_total")
     pairs = found.join(theirs, ["hash", "size"]).select(

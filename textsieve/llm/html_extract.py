@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from textsieve.llm import kernels as K
 from textsieve.scratch import Scratch
+from textsieve.session import spread
 
 #: Share of a host's pages that a class occurs on, and its least number of tokens.
 SUPPORT, TOKENS = 0.5, 2
@@ -443,7 +444,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     spark: SparkSession = pages.sparkSession
     K.tune(spark)
     s = Scratch(spark, "html")
-    pages = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"))
+    pages = spread(pages.select("page_id", "url", "html")).withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
     templates = s.save(classes_of(pages, s), "classes")
     small = (templates.select(F.sum(F.size(F.flatten("classes")))).first()[0] or 0) <= BROADCAST_ROWS
     regions = regions_of(_with_templates(pages, templates, small))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from textsieve.llm import kernels as K
 from textsieve.scratch import Scratch
+from textsieve.session import spread
 
 #: Labelled documents of each language that are fitted on, at most (about, chosen by hash).
 TRAIN_DOCS = 5_000
@@ -213,7 +214,7 @@ def identify(documents: DataFrame) -> DataFrame:
     spark: SparkSession = documents.sparkSession
     K.tune(spark)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    rows = documents.select("doc_id", "text", "lang", F.coalesce(fold == 0, F.lit(False)).alias("held_out"))
+    rows = spread(documents.select("doc_id", "text", "lang")).withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))
     labelled = rows.where(~F.col("held_out") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     scratch = Scratch(spark, "language")
     model = train(labelled.select("text", "lang", F.col("doc_id").alias("key")), scratch)

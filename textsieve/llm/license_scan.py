@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsieve.llm import kernels as K
+from textsieve.session import spread
 
 #: Phrases whose places are counted, and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -219,7 +220,7 @@ def scan_licenses(documents: DataFrame, templates: tuple[tuple[str, str], ...] =
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return spread(documents.select("doc_id", F.col("text").cast("string"))).mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from textsieve.llm import kernels as K
 from textsieve.llm.graph import connected_components
 from textsieve.scratch import Scratch
+from textsieve.session import spread
 
 #: Ratio of neighbouring register values, rate of the hashes, largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -290,7 +291,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     K.tune(spark)
     s = Scratch(spark, "near_dedup")
     bands = bands_for(num, den)
-    sketches = s.save(sketch(documents, k, bands), "sketch")
+    sketches = s.save(sketch(spread(documents.select("doc_id", "text")), k, bands), "sketch")
     named = sketches.where("n_shingles > 0 and doc_id is not null")
     reps = s.save(named.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "reps")
     keys = reps.select("rep", F.explode("bands").alias("band"))

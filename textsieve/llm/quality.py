@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsieve.llm import kernels as K
+from textsieve.session import spread
 
 #: Labelled documents that are fitted on, at most (about, by hash).
 LABELLED = 6000
@@ -357,7 +358,7 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark: SparkSession = documents.sparkSession
     K.tune(spark)
-    docs = documents.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
+    docs = spread(documents.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string")))
     named = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(c).cast("int").alias(c) for c in TARGETS])
     held = spark.sparkContext.broadcast(train(docs, named))
 
