@@ -133,6 +133,18 @@ def placed(pieces: DataFrame) -> DataFrame:
     return rows.select(*_KEY, "start", "line", "column", (F.col("line") + F.col("_body_lines")).alias("end_line"), end_column.cast("long").alias("end_column"), "match")
 
 
+def _beside(places: DataFrame, parts: DataFrame, place: str, part: str) -> DataFrame:
+    """Places with the part (a segment or line, by number) of their document that each of them names.
+
+    A document is told by its row number.  Its path may be null and takes part
+    only so that all uses of the documents ask for the same columns: then Spark
+    reads one exchange for all of them.
+    """
+    renamed = parts.withColumnsRenamed({"path": "_path", "_row": "_of", part: "_part"})
+    at = (F.col("_row") == F.col("_of")) & (F.col(place) == F.col("_part")) & F.col("path").eqNullSafe(F.col("_path"))
+    return places.join(renamed, at).drop("_path", "_of", "_part")
+
+
 def with_original(places: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Places that were found in lower case, with their matches cut from the text itself.
 
@@ -140,8 +152,8 @@ def with_original(places: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """
     step = max(SEGMENT, size)
     cut = docs.select(*_KEY, F.posexplode_outer(F.regexp_extract_all("content", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))).alias("_pos", "_text"))
-    segments = cut.select(*_KEY, F.col("_pos").cast("long").alias("_segment"), F.concat("_text", F.coalesce(F.lead("_text").over(_in_order()), F.lit(""))).alias("_text"))
-    rows = places.withColumn("_segment", F.floor(F.col("start") / step)).join(segments, [*_KEY, "_segment"])
+    segments = cut.select(*_KEY, F.col("_pos").cast("long").alias("_number"), F.concat("_text", F.coalesce(F.lead("_text").over(_in_order()), F.lit(""))).alias("_text"))
+    rows = _beside(places.withColumn("_segment", F.floor(F.col("start") / step)), segments, "_segment", "_number")
     return rows.withColumn("match", F.substring(F.col("_text"), (F.col("start") % step + 1).cast("int"), F.lit(size))).select(places.columns)
 
 
@@ -149,9 +161,9 @@ def with_context(places: DataFrame, docs: DataFrame, before: int, after: int) ->
     """Places with the lines around them; a text is cut into lines once."""
     lines = docs.select(*_KEY, F.posexplode_outer(F.split("content", "\r?\n", -1)).alias("_pos", "_text"))
     around = lambda first, last: F.collect_list("_text").over(_in_order().rowsBetween(first, last)) if first <= last else F.array().cast("array<string>")
-    lines = lines.select(*_KEY, (F.col("_pos") + 1).cast("long").alias("line"), around(-before, -1).alias("context_before"), F.col("_text").alias("context_line"), around(1, after).alias("context_after"))
-    first, last = lines.drop("context_after"), lines.select(*_KEY, F.col("line").alias("end_line"), "context_after")
-    return places.join(first, [*_KEY, "line"]).join(last, [*_KEY, "end_line"]).select(COLUMNS)
+    lines = lines.select(*_KEY, (F.col("_pos") + 1).cast("long").alias("_line"), around(-before, -1).alias("context_before"), F.col("_text").alias("context_line"), around(1, after).alias("context_after"))
+    begun = _beside(places, lines.drop("context_after"), "line", "_line")
+    return _beside(begun, lines.select(*_KEY, "_line", "context_after"), "end_line", "_line").select(COLUMNS)
 
 
 def ordered(matches: DataFrame, most: int | None) -> DataFrame:
