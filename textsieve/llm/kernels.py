@@ -204,7 +204,17 @@ def hash_words(text: str, word_byte: np.ndarray) -> np.ndarray:
     return words_of(data, np.array([0, len(data)]), word_byte).hashes()
 
 
+#: Most rows of an Arrow batch, so that a batch of long texts fits a worker.
+BATCH_ROWS = 1000
+
+
 def tune(spark) -> None:
-    """Workers that find this package, and Arrow batches so small that a batch of long texts fits them."""
+    """Workers that find this package, and Arrow batches of BATCH_ROWS rows at most; a session that asks for fewer keeps them.
+
+    Results are lazy, so the setting has to stay in force for as long as they are read.
+    """
     share_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(key, "10000"))
+    if not 0 < held <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
