@@ -253,10 +253,10 @@ def trigram_df(spark, sf_dir):
 @query(
     "masked_trigrams",
     """SELECT doc_id, term, min(i)::INT AS start, lpad(format('{:b}', bit_or(1 << (i % 8)::INT)), 8, '0') AS loc_mask, lpad(format('{:b}', bit_or(CASE WHEN nx = '' THEN 0 ELSE 1 << (unicode(nx) % 8)::INT END)), 8, '0') AS next_mask
-FROM (SELECT doc_id, i, substr(text, (i + 1)::BIGINT, 3) AS term, substr(text, (i + 4)::BIGINT, 1) AS nx FROM documents, unnest(range(0, length(text) - 2)) AS u(i)) GROUP BY doc_id, term""",
+FROM (SELECT conv_id * 1000 + turn AS doc_id, i, substr(text, (i + 1)::BIGINT, 3) AS term, substr(text, (i + 4)::BIGINT, 1) AS nx FROM conversations, unnest(range(0, length(text) - 2)) AS u(i)) GROUP BY doc_id, term""",
 )
 def masked(spark, sf_dir):
-    return masked_trigrams(_docs(spark, sf_dir).select("doc_id", "content"), ["doc_id"])
+    return masked_trigrams(table_corpus(spark, sf_dir, "conversations").select("doc_id", "content"), ["doc_id"])
 
 
 def _weight_sql(pair: str) -> str:
@@ -291,11 +291,11 @@ g AS (SELECT doc_id, unnest(list_filter([{', '.join(grams)}], lambda x: x IS NOT
 SELECT doc_id, g.term AS term, g.start AS start, g.stop AS stop, g.weight AS weight FROM g"""
 
 
-_SPARSE_SQL = _sparse_sql("documents", "doc_id")
+_TURNS_SQL = _sparse_sql("conversations", "conv_id * 1000 + turn")
 _ITEMS_SQL = _sparse_sql("benchmark", "item_id")
 
 
-def _sparse(spark, sf_dir, table: str = "documents") -> DataFrame:
+def _sparse(spark, sf_dir, table: str) -> DataFrame:
     return term_rows(table_corpus(spark, sf_dir, table)).withColumnRenamed("end", "stop")
 
 
@@ -309,17 +309,17 @@ def inverted_index(spark, sf_dir):
     return _sparse(spark, sf_dir, "benchmark").groupBy("term", "doc_id").agg(F.array_join(F.sort_array(F.collect_list("start")), ",").alias("positions"))
 
 
-@query("term_stats", f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs, sum(start)::BIGINT AS starts, sum(stop)::BIGINT AS stops, min(weight) AS weight FROM ({_SPARSE_SQL}) GROUP BY term")
+@query("term_stats", f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs, sum(start)::BIGINT AS starts, sum(stop)::BIGINT AS stops, min(weight) AS weight FROM ({_TURNS_SQL}) GROUP BY term")
 def term_stats(spark, sf_dir):
-    """Every sparse n-gram of the documents with its places, summed up by term."""
-    per_doc = _sparse(spark, sf_dir).groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("stop").alias("stops"), F.min("weight").alias("weight"))
+    """Every sparse n-gram of the conversations with its places, summed up by term; SQL over the documents would need more memory than they are worth."""
+    per_doc = _sparse(spark, sf_dir, "conversations").groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("stop").alias("stops"), F.min("weight").alias("weight"))
     return per_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.sum("starts").alias("starts"), F.sum("stops").alias("stops"), F.min("weight").alias("weight"))
 
 
-@query("posting_counts", f"SELECT term, count(DISTINCT doc_id) AS docs FROM ({_SPARSE_SQL}) GROUP BY term")
+@query("posting_counts", f"SELECT term, count(DISTINCT doc_id) AS docs FROM ({_TURNS_SQL}) GROUP BY term")
 def posting_counts(spark, sf_dir):
     """Documents of each term, read back from stored posting lists by the hash of the term."""
-    docs = _docs(spark, sf_dir)
+    docs = table_corpus(spark, sf_dir, "conversations")
     stored = Scratch(spark, "postings").save(postings_of(docs), "postings")
     counts = stored.groupBy("term_hash").agg(F.sum(F.size("docs")).alias("docs"))
     terms = term_rows(docs).select("term").distinct().withColumn("term_hash", hashed_term("term"))
